@@ -91,3 +91,10 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Ite
         yield batch.slice(begin)
 
 
+
+
+def text_slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[list[str | None]]:
+    """The values of a string array in lists of about ``limit`` bytes."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    for part in byte_slices(batch, "text", limit):
+        yield part.column("text").to_pylist()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .languages import identify
 from .mixing import mixed
 from .packing import pack
 from .token_counts import count_tokens
@@ -30,6 +31,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def crc_part(parts: int) -> Column:
+    """crc32 of the document id as text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_part(4) == 2, F.lit(False)))
+    out = identify(docs, docs.filter(~F.col("held_out")), keep=("held_out",))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "rate")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1)
 
@@ -39,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_token_files, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op3_mixing, op4_token_files, op7_languages, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
