@@ -13,6 +13,7 @@ from .mixing import mixed
 from .packing import pack
 from .token_counts import count_tokens
 from .token_files import token_output
+from .toxicity import toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +22,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def crc_part(parts: int) -> Column:
+    """crc32 of the document id as text, modulo ``parts``."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_part(5) == 0, F.lit(False)))
+    return toxicity(docs, docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"), keep=("held_out",))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = mixed(docs, temperature=0.5, seed="mix", copy_col="copy", key_col="order_key")
@@ -31,11 +42,6 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
-def crc_part(parts: int) -> Column:
-    """crc32 of the document id as text, modulo ``parts``."""
-    return F.crc32(F.col("doc_id").cast("string")) % parts
-
-
 def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_part(4) == 2, F.lit(False)))
     out = identify(docs, docs.filter(~F.col("held_out")), keep=("held_out",))
@@ -51,7 +57,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op4_token_files, op7_languages, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op2_toxicity, op3_mixing, op4_token_files, op7_languages, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
