@@ -11,6 +11,7 @@ from .common import table
 from .languages import identify
 from .mixing import mixed
 from .packing import pack
+from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_output
 from .toxicity import toxicity
@@ -27,6 +28,10 @@ def crc_part(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % parts
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_part(5) == 0, F.lit(False)))
     return toxicity(docs, docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"), keep=("held_out",))
@@ -57,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_mixing, op4_token_files, op7_languages, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_mixing, op4_token_files, op7_languages, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
