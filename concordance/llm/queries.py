@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embeddings import near_duplicates as similar_vectors
 from .languages import identify
+from .merkle import edits
 from .mixing import mixed
 from .packing import pack
 from .simhash import near_duplicates
@@ -47,12 +49,20 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits(table(spark, sf_dir, "documents"))
+
+
 def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_part(4) == 2, F.lit(False)))
     out = identify(docs, docs.filter(~F.col("held_out")), keep=("held_out",))
     return out.select("doc_id", "held_out", "lang_pred", "score", "rate")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"), least_cosine=0.98)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1)
 
@@ -62,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_mixing, op4_token_files, op7_languages, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_mixing, op4_token_files, op6_fingerprints, op7_languages, op8_embeddings, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
