@@ -7,6 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Sources up to which the table of their rates is broadcast (some MB); beyond it the
+#: join is a shuffle, with each source dealt over so many salts.
+MOST_BROADCAST, SALTS = 50_000, 256
 #: The largest mean that one inversion handles; a larger one is a sum of several.
 MEAN_STEP = 8.0
 
@@ -41,13 +44,14 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, temperatu
     hence no copy); without ``weights`` a source's weight is its size to the power
     ``temperature``.  A document's number of copies is the inverse of its Poisson
     distribution at a number hashed from ``seed`` and its id: the same at every run,
-    whatever the partitions.  Copies are ordered by a hash of seed, id and copy number
-    over the whole cluster (a range partition of the hash).
+    whatever the partitions.  Copies are dealt over the whole cluster by a hash of seed, id
+    and copy number and sorted by it within a partition: each partition is a random part of
+    all copies, in random order.
 
     Returns the columns of ``docs``; ``copy_col`` adds the copy number from 0, ``key_col``
-    the sort key.  Sizes are pre-aggregated per source before the shuffle and joined
-    back by source; the join splits a hot source (AQE), or broadcasts when Spark has
-    measured the table of sources as small.
+    the sort key.  Sizes are pre-aggregated per source; the driver gets their number and
+    sums.  The rates are broadcast if there are at most MOST_BROADCAST sources; beyond it
+    rows are joined by source and a salt from their id, which splits a hot source.
 
     Null source is a source of its own (``""`` in ``weights``); it is not the same as
     the empty string.  Null ids hash as the empty string.  Rows with equal ids get
@@ -67,13 +71,20 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, temperatu
         known = F.create_map(*(x for k, v in weights.items() for x in (F.lit("null" if k == "" else f"s{k}"), F.lit(float(v)))))
         weight = F.coalesce(known[F.col("src")], F.lit(0.0))
     sizes = sizes.withColumn("weight", weight)
-    total = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    rates = sizes.join(F.broadcast(total)).select("src", F.when(F.col("size") > 0, F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")).otherwise(0.0).alias("rate"))
+    totals = sizes.agg(F.count(F.lit(1)), F.sum("size"), F.sum("weight")).first()
+    rate = F.col("weight") / (totals[2] or 1.0) * (totals[1] or 0.0) / F.col("size")
+    rates = sizes.select("src", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"))
+    if totals[0] <= MOST_BROADCAST:
+        own = own.join(F.broadcast(rates), "src")
+    else:
+        rates = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(rates, ["src", "salt"])
     n_steps = F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN_STEP)).cast("int")
     drawn = F.aggregate(F.sequence(F.lit(1), n_steps), F.lit(0), lambda acc, i: acc + poisson_inverse(unit_hash(seed, "n", F.col("id"), i), F.col("rate") / n_steps))
-    copies = own.join(rates, "src").select("row", "id", F.when(F.col("rate") > 0, drawn).otherwise(0).alias("n"))
+    copies = own.select("row", "id", F.when(F.col("rate") > 0, drawn).otherwise(0).alias("n"))
     each = copies.filter("n > 0").select("row", "id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
-    out = each.select("row", "copy", unit_hash(seed, "order", F.col("id"), F.col("copy")).alias("key")).orderBy("key")
+    out = each.select("row", "copy", unit_hash(seed, "order", F.col("id"), F.col("copy")).alias("key"))
+    out = out.repartition("key").sortWithinPartitions("key")
     more = [F.col("copy").alias(copy_col)] if copy_col else []
     more += [F.col("key").alias(key_col)] if key_col else []
     return out.select(*(F.col("row").getField(x).alias(x) for x in names), *more)

@@ -17,6 +17,7 @@ from .simhash import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_output
 from .toxicity import toxicity
+from .url_filters import Rule, judge
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,9 +26,9 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def crc_part(parts: int) -> Column:
-    """crc32 of the document id as text, modulo ``parts``."""
-    return F.crc32(F.col("doc_id").cast("string")) % parts
+def held_out(parts: int, which: int) -> Column:
+    """Whether crc32 of the document id as text, modulo ``parts``, is ``which``; null ids aren't held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == which, F.lit(False))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_part(5) == 0, F.lit(False)))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(5, 0))
     return toxicity(docs, docs.filter(~F.col("held_out")), table(spark, sf_dir, "labels"), keep=("held_out",))
 
 
@@ -49,12 +50,20 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+#: The rules of op5, fixed by its contract.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), [Rule.of(*x) for x in URL_RULES])
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits(table(spark, sf_dir, "documents"))
 
 
 def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_part(4) == 2, F.lit(False)))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(4, 2))
     out = identify(docs, docs.filter(~F.col("held_out")), keep=("held_out",))
     return out.select("doc_id", "held_out", "lang_pred", "score", "rate")
 
@@ -72,7 +81,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_mixing, op4_token_files, op6_fingerprints, op7_languages, op8_embeddings, op9_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_mixing, op4_token_files, op5_url_filters, op6_fingerprints, op7_languages, op8_embeddings, op9_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
