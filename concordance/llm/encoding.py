@@ -44,25 +44,40 @@ def segments(text: str, limit: int = SEGMENT) -> Iterator[str]:
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece; ``encode_new`` gives the values of new pieces."""
+    """Encodes texts piece by piece; ``encode_new`` gives the values of new pieces.
+
+    At most ``remembered`` pieces are kept, in two generations: when the young one holds
+    half of them it becomes the old one, and pieces met again come back from there.
+    """
 
     def __init__(self, pattern: re.Pattern, encode_new: Callable[[list[str]], list], join: Callable[[list], object], remembered: int = REMEMBERED):
-        self.pattern, self.encode_new, self.join, self.remembered = pattern, encode_new, join, remembered
-        self.known: dict[str, object] = {}
+        self.pattern, self.encode_new, self.join, self.half = pattern, encode_new, join, remembered // 2
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
 
     def __call__(self, texts: list[str]) -> list:
-        pieces = [self.pattern.findall(x) for x in texts]
-        get = self.known.get
-        found = [list(map(get, x)) for x in pieces]
-        unknown = {p for x, y in zip(pieces, found, strict=True) if None in y for p, v in zip(x, y, strict=True) if v is None}
+        findall, join, get = self.pattern.findall, self.join, self.young.get
+        out: list = []
+        waiting, unknown = [], set()
+        for i, text in enumerate(texts):
+            pieces = findall(text)
+            values = list(map(get, pieces))
+            if None in values:
+                waiting.append((i, pieces))
+                unknown.update([p for p, v in zip(pieces, values, strict=True) if v is None])
+                out.append(None)
+            else:
+                out.append(join(values))
         if unknown:
-            if len(self.known) + len(unknown) > self.remembered:
-                self.known.clear()
-                unknown = {p for x in pieces for p in x}
-            new = list(unknown)
-            self.known.update(zip(new, self.encode_new(new), strict=True))
-            found = [list(map(get, x)) for x in pieces]
-        return [self.join(x) for x in found]
+            again = {p: v for p in unknown if (v := self.old.get(p)) is not None}
+            new = [*(unknown - again.keys())]
+            again.update(zip(new, self.encode_new(new), strict=True))
+            self.young.update(again)
+            for i, pieces in waiting:
+                out[i] = join(list(map(get, pieces)))
+            if len(self.young) > self.half:
+                self.old, self.young = self.young, {}
+        return out
 
 
 class IdEncoder:

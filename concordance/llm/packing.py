@@ -94,8 +94,9 @@ class Packer:
                 score = np.where(fits, size @ (left / cap**2), -1.0)
                 i = int(score.argmax())
                 if score[i] < 0:
-                    lengths = [(items[k].longest(int(left[0]), int(left[2])), k) for k in np.flatnonzero(here)]
-                    n, i = max(lengths, key=lambda x: (x[0], size[x[1], 0]))
+                    longest = np.where(here, np.minimum(np.minimum(left[0], size[:, 0]), size[:, 0] - size[:, 2] + left[2]), 0)
+                    i = int(np.where(longest == longest.max(), size[:, 0], -1).argmax())
+                    n = int(longest[i])
                     if not n:
                         break
                 else:
