@@ -155,9 +155,9 @@ def forest(prints: np.ndarray, ids: np.ndarray, pairs: Iterator[tuple[np.ndarray
     for a, b in pairs:
         near = np.bitwise_count(prints[a] ^ prints[b]) <= MAX_BITS
         for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
-            x, y = top(x), top(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
+            p, q = top(x), top(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
                 a_out.append(x)
                 b_out.append(y)
     return ids[a_out] if a_out else ids[:0], ids[b_out] if b_out else ids[:0]
