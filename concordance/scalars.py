@@ -35,12 +35,12 @@ NATIVE = {
 }
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def casefold(values: pa.Array) -> pa.Array:
     return pa.array([None if x is None else x.casefold() for x in values.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def nfc(values: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in values.to_pylist()], pa.string())
 
