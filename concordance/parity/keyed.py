@@ -53,19 +53,19 @@ def field_counts(rows: DataFrame, recipe: Recipe) -> DataFrame:
 
 def identity(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(rows, distinct_keys, null_key_rows, duplicate_keys) of one side, as one row."""
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     null = reduce(Column.__or__, (F.col(k).isNull() for k in keys))
-    totals = (F.sum("n"), F.count(F.lit(1)), F.sum(F.when(null, F.col("n"))), F.count_if(F.col("n") > 1))
+    totals = (F.sum("__n"), F.count(F.lit(1)), F.sum(F.when(null, F.col("__n"))), F.count_if(F.col("__n") > 1))
     names = ("rows", "distinct_keys", "null_key_rows", "duplicate_keys")
     return groups.agg(*(F.coalesce(x, F.lit(0)).cast("long").alias(n) for x, n in zip(totals, names, strict=True)))
 
 
 def coverage(baseline: DataFrame, candidate: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Row counts, key coverage and identity problems of both sides in one shuffle, as one row."""
-    sided = baseline.select(*keys, F.lit(0).alias("side")).unionByName(candidate.select(*keys, F.lit(1).alias("side")))
-    groups = sided.groupBy(*keys).agg(*(F.count_if(F.col("side") == i).alias(n) for i, n in enumerate("bc")))
+    sided = baseline.select(*keys, F.lit(0).alias("__side")).unionByName(candidate.select(*keys, F.lit(1).alias("__side")))
+    groups = sided.groupBy(*keys).agg(*(F.count_if(F.col("__side") == i).alias(n) for i, n in enumerate(("__b", "__c"))))
     null = reduce(Column.__or__, (F.col(k).isNull() for k in keys))
-    b, c = F.col("b"), F.col("c")
+    b, c = F.col("__b"), F.col("__c")
     found = {
         "baseline": F.sum(b),
         "candidate": F.sum(c),

@@ -70,10 +70,11 @@ def from_text(c: Column, f: Field) -> tuple[Column, Column | None]:
     elif f.type == "integer":
         value = F.when(c.rlike(INTEGER), c.try_cast("decimal(38,0)"))
     elif f.type == "decimal":
-        exact = c.try_cast("decimal(38,18)") if f.scale <= 18 else c.try_cast(f"decimal(38,{f.scale})")
+        exact_kind = f"decimal(38,{max(18, f.scale)})"
+        exact = c.try_cast(exact_kind)
         fits = F.length(F.regexp_extract(F.regexp_replace(c, r"0+$", ""), r"\.([0-9]*)$", 1)) <= f.scale
         plain = c.try_cast(f"decimal(38,{f.scale})")
-        value = F.when(c.rlike(DECIMAL) & F.when(c.rlike("[eE]"), exact == plain).otherwise(~c.contains(".") | fits | (F.length(F.regexp_extract(c, r"\.([0-9]*)$", 1)) <= f.scale)), plain)
+        value = F.when(c.rlike(DECIMAL) & F.when(c.rlike("[eE]"), exact == plain.cast(exact_kind)).otherwise(~c.contains(".") | fits | (F.length(F.regexp_extract(c, r"\.([0-9]*)$", 1)) <= f.scale)), plain)
     elif f.type == "float":
         number = c.try_cast("double")
         value = F.when(c.rlike(DECIMAL) & ~F.isnan(number) & (F.abs(number) < float("inf")), number)
