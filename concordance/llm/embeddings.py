@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import in_arrow, staged
 from .components import components
 
 #: Vectors of a block, about: one task holds two blocks.
 BLOCK = 2048
+#: Cells with a centre of their own, about, of all labels together.
+MOST_CELLS = 512
 #: Slack for rounding in bounds; what lies nearer to a bound is opened or computed exactly.
 SLACK = 1e-7
 
@@ -194,6 +197,67 @@ def _tasks(least_cosine: float):
     return run
 
 
+def _cells(groups: DataFrame, least_cosine: float) -> DataFrame:
+    """``groups`` dealt to pairs of blocks: (task, side, id, vector, copies).
+
+    Labels of over BLOCK vectors get centres, about one a block and MOST_CELLS together,
+    drawn by a hash; a vector belongs to the cell of the nearest centre, a cell is dealt
+    into blocks of about BLOCK by a hash.  Cells are the trees' top nodes: two of them are
+    compared only if the centres' distance minus both covering radii reaches the threshold.
+    The driver has the centres and the cells' radii, and nothing of single vectors.
+    """
+    spark = groups.sparkSession
+    sizes = groups.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.filter(F.col("n") > BLOCK).orderBy(F.desc("n"), "part").limit(MOST_CELLS // 2).collect()
+    wanted = {r.part: max(2, round(r.n / BLOCK)) for r in large}
+    scale = min(1.0, MOST_CELLS / max(1, sum(wanted.values())))
+    steps = [(r.part, -(-r.n // max(2, int(wanted[r.part] * scale)))) for r in large]
+    drawn = groups.join(F.broadcast(spark.createDataFrame(steps, "part string, step long")), "part").filter(F.pmod(F.xxhash64("id", F.lit("centre")), F.col("step")) == 0)
+    centres: dict[str, list] = {}
+    for r in drawn.select("part", "id", "vector").orderBy("part", "id").limit(2 * MOST_CELLS).collect():
+        centres.setdefault(r.part, []).append(r.vector)
+    unit = {k: np.array(v) / np.sqrt((np.array(v) ** 2).sum(1))[:, None] for k, v in centres.items()}
+    sent = spark.sparkContext.broadcast(unit)
+    ship(spark)
+
+    @F.arrow_udf("cell int, far double")
+    def nearest(parts: pa.Array, vectors: pa.Array) -> pa.Array:
+        cell, far = np.zeros(len(parts), np.int32), np.zeros(len(parts))
+        names = np.array(parts.to_pylist(), object)
+        for name in set(names) & sent.value.keys():
+            rows = np.flatnonzero(names == name)
+            x = np.array(vectors.take(pa.array(rows)).to_pylist(), float)
+            x /= np.sqrt((x * x).sum(1))[:, None]
+            cell[rows] = (x @ sent.value[name].T).argmax(1)
+            far[rows] = _distance(x, sent.value[name][cell[rows]])
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(far)], names=["cell", "far"])
+
+    rows = groups.select("part", "id", "vector", "copies", nearest("part", "vector").alias("at")).select("part", "id", "vector", "copies", "at.cell", "at.far")
+    rows = staged(rows, "cells")
+    cells = rows.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"))
+    cells = staged(cells.select("part", "cell", F.greatest(F.lit(1), F.round(F.col("n") / BLOCK)).cast("int").alias("blocks"), "radius"), "radii")
+    most, pairs = np.sqrt(2 - 2 * least_cosine), []
+    radii: dict[str, dict[int, float]] = {}
+    if unit:
+        for r in cells.join(F.broadcast(spark.createDataFrame([(k,) for k in unit], "part string")), "part").collect():
+            radii.setdefault(r.part, {})[r.cell] = r.radius
+    for name, found in radii.items():
+        ids = np.array(sorted(found))
+        radius = np.array([found[i] for i in ids])
+        for i, k in enumerate(ids):
+            near = _distance(unit[name][ids], unit[name][k]) - radius - radius[i] <= most + SLACK
+            pairs += [(name, int(k), int(o)) for o in ids[near | (ids == k)]]
+    listed = spark.createDataFrame(pairs, "part string, cell int, other int")
+    others = cells.select("part", F.col("cell").alias("other"), F.col("blocks").alias("other_blocks"))
+    plain = cells.filter(~F.col("part").isin(list(radii))) if radii else cells
+    partners = listed.unionByName(plain.select("part", "cell", F.col("cell").alias("other"))).join(others, ["part", "other"]).join(cells.select("part", "cell", "blocks"), ["part", "cell"])
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rows.select("part", "cell", "id", "vector", "copies").join(partners, ["part", "cell"]).withColumn("own", own)
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("block"))
+    here, there = F.struct(F.col("cell").alias("c"), F.col("own").alias("b")), F.struct(F.col("other").alias("c"), F.col("block").alias("b"))
+    return dealt.select(F.xxhash64("part", F.least(here, there), F.greatest(here, there)).alias("task"), F.when(here > there, 1).otherwise(0).cast("long").alias("side"), "id", "vector", "copies")
+
+
 def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id``, ``kept``.
 
@@ -203,9 +267,10 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, id_col: str
     included) and ``kept`` says whether it is the vector's own.
 
     Equal vectors of a label are first made one row with its number of copies (partial
-    aggregation).  The rows of a label are dealt into blocks of about BLOCK by a hash;
-    each pair of blocks is a task with a cover tree for each.  A task hands on a count per row
-    and links that connect its rows, fewer than rows, never pairs.
+    aggregation).  The rows of a label are dealt into cells around centres and cells into
+    blocks of about BLOCK; each pair of blocks whose cells may hold a link is a task with a
+    cover tree for each block (``_cells``).  A task hands on a count per row and links that
+    connect its rows, fewer than rows, never pairs.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing; so do vectors of different lengths.  Rows with a null id count as copies but
@@ -219,13 +284,10 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.98, id_col: str
     clean = F.transform("vector", lambda v: v + F.lit(0.0))
     rows = staged(rows.select("id", "label", F.when(whole, clean).alias("vector")), "vectors")
     valid = rows.filter("vector IS NOT NULL")
-    groups = staged(valid.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("id", F.monotonically_increasing_id()), "groups")
-    sizes = groups.groupBy("label", F.size("vector").alias("dims")).agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    keyed = groups.withColumn("dims", F.size("vector")).join(sizes, ["label", "dims"]).withColumn("own", own)
-    keyed = keyed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    task = F.xxhash64("label", "dims", F.least("own", "other"), F.greatest("own", "other"))
-    tasks = keyed.select(task.alias("task"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("long").alias("side"), "id", "vector", "copies")
+    part = F.concat_ws(":", F.col("label").cast("string"), F.size("vector").cast("string"))
+    groups = valid.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    groups = staged(groups.withColumn("part", part).withColumn("id", F.monotonically_increasing_id()), "groups")
+    tasks = _cells(groups, least_cosine)
     found = in_arrow(tasks.repartition("task").sortWithinPartitions("task"), _tasks(least_cosine), "a long, b long, n long")
     found = staged(found, "links")
     counts = found.filter("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
