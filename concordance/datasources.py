@@ -109,7 +109,20 @@ class JsonSource(_Source):
     def records(self) -> Iterator[dict]:
         with open(self.options["path"], encoding="utf-8") as f:
             document = json.load(f, parse_float=str, parse_int=str, object_pairs_hook=_once)
-        yield from pointed(document, self.options["part"])
+        fields = json.loads(self.options.get("fields", "null"))
+        for record in pointed(document, self.options["part"]):
+            yield {n: pointed(record, x) for n, x in fields.items()} if fields else record
+
+
+def selected(record: ET.Element, selector: str, spaces: dict[str, str]) -> str | None:
+    """An attribute, or the text of the one element at a path; None if it is absent."""
+    if selector.startswith("@"):
+        prefix, _, local = selector[1:].rpartition(":")
+        return record.get(f"{{{spaces[prefix]}}}{local}" if prefix else local)
+    found = record.findall(selector, spaces)
+    if len(found) > 1 or any(len(x) for x in found):
+        raise ValueError("a selector meets several elements or one with children")
+    return (found[0].text or "") if found else None
 
 
 class XmlSource(_Source):
@@ -131,7 +144,12 @@ class XmlSource(_Source):
         prefix, _, local = first.rpartition(":")
         if root.tag != (f"{{{names[prefix]}}}{local}" if prefix else local):
             raise ValueError("the document's root is another one")
+        fields = json.loads(self.options.get("fields", "null"))
+        bound = json.loads(self.options.get("namespaces", "{}"))
         for record in root.findall(rest, names):
+            if fields:
+                yield {n: selected(record, x, bound) for n, x in fields.items()}
+                continue
             out: dict[str, str | None] = {}
             for field in record:
                 if field.attrib or len(field) or field.tag in out:

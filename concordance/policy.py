@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
 from pathlib import Path
@@ -23,9 +24,11 @@ MEASURES = ("count", "sum", "min", "max")
 #: Recipe versions by mode; 4 to 6 are 1 to 3 with a projection of fields.
 MODES = {1: "keyed", 2: "aggregate", 3: "multiset", 4: "keyed", 5: "aggregate", 6: "multiset"}
 PROJECTIONS = ("direct-v1", "json-pointer-v1", "xml-field-v1")
+#: How values are admitted: by their type, strictly.
+STRICT = "semantic-scalar-v1"
 
 #: Fields of a recipe for all modes, and for one mode each.
-COMMON_FIELDS = {"recipe_version", "comparison_mode", "scope", "columns", "output", "delimiters", "null_tokens", "excluded_columns", "column_mappings", "field_projection", "input_semantics"}
+COMMON_FIELDS = {"recipe_version", "comparison_mode", "scope", "columns", "output", "delimiters", "null_tokens", "excluded_columns", "column_mappings", "field_projection", "input_projection"}
 MODE_FIELDS = {"keyed": {"keys", "identity", "nulls_equal"}, "aggregate": {"group_by", "measures"}, "multiset": set()}
 
 
@@ -201,7 +204,10 @@ def parse_recipe(value: Any) -> Recipe:
     require(isinstance(scope["filters"], list) and all(isinstance(x, str) and x for x in scope["filters"]), "scope.filters must list nonempty strings")
     require(scope["completeness"] == "full", "scope.completeness must be full")
     require(isinstance(scope["expected_empty"], bool), "scope.expected_empty must be true or false")
-    require(value["recipe_version"] < 4 or "field_projection" in value, "recipe versions 4 to 6 need a field_projection")
+    require(value.get("input_projection", STRICT) == STRICT, f"input_projection must be {STRICT}")
+    projected = value["recipe_version"] > 3
+    require(projected == ("field_projection" in value), "recipe versions 4 to 6, and they only, have a field_projection")
+    require(not projected or ("input_projection" in value and "column_mappings" not in value), f"recipe versions 4 to 6 need input_projection {STRICT} and take no column_mappings")
     output = closed(value.get("output", {"sensitivity": "summary"}), "output", {"sensitivity"})
     require(output["sensitivity"] in ("summary", "raw"), "output.sensitivity must be summary or raw")
     delimiters = closed(value.get("delimiters", dict.fromkeys(SIDES, ",")), "delimiters", set(SIDES))
@@ -210,6 +216,8 @@ def parse_recipe(value: Any) -> Recipe:
     columns = value["columns"]
     require(isinstance(columns, dict) and columns and all(isinstance(x, str) and x for x in columns), "columns must be a nonempty object")
     mappings = value.get("column_mappings", {})
+    if projected:
+        mappings = projection_of(value["field_projection"], set(columns))
     require(isinstance(mappings, dict) and set(mappings) <= set(columns), "column_mappings must name configured columns")
     for name, mapping in mappings.items():
         closed(mapping, f"column_mappings.{name}", set(SIDES))
@@ -242,6 +250,38 @@ def parse_recipe(value: Any) -> Recipe:
     return Recipe(mode, fields, tuple(keys), nulls_equal, tuple(group_by), measures, scope["expected_empty"], output["sensitivity"] == "raw", tuple(delimiters[s] for s in SIDES), tuple(tuple(texts(tokens[s], f"null_tokens.{s}")) for s in SIDES), tuple(excluded), value)
 
 
+def projection_of(value: Any, columns: set[str]) -> dict[str, dict[str, str]]:
+    """Source columns by side of a field projection; selectors of documents are checked.
+
+    Documents are read with their selectors, so their columns have the canonical names.
+    """
+    closed(value, "field_projection", {"version", *SIDES})
+    require(value["version"] == 1, "field_projection.version must be 1")
+    out: dict[str, dict[str, str]] = {n: {} for n in columns}
+    for side in SIDES:
+        where, kind = f"field_projection.{side}", value[side].get("kind") if isinstance(value[side], dict) else None
+        require(kind in PROJECTIONS, f"{where}.kind is unknown")
+        closed(value[side], where, {"kind", "fields"} | ({"namespaces"} if kind == "xml-field-v1" else set()))
+        fields = value[side]["fields"]
+        require(isinstance(fields, dict) and set(fields) == columns, f"{where}.fields must name the configured columns")
+        texts(list(fields.values()), f"{where}.fields")
+        if kind == "json-pointer-v1":
+            good = all(re.fullmatch(r"(/([^~/]|~[01])*){1,32}", x) for x in fields.values())
+            require(good, f"{where} must have JSON pointers of 1 to 32 tokens")
+        if kind == "xml-field-v1":
+            name = r"([A-Za-z_][\w.-]*:)?[A-Za-z_][\w.-]*"
+            good = all(re.fullmatch(rf"@{name}|{name}(/{name}){{0,31}}", x, re.ASCII) for x in fields.values())
+            require(good, f"{where} must have attributes or paths of 1 to 32 names")
+            used = {part.partition(":")[0] for x in fields.values() for part in x.lstrip("@").split("/") if ":" in part}
+            require(used == set(value[side]["namespaces"]), f"{where}.namespaces must be those of the selectors")
+            paths = [x.split("/") for x in fields.values() if not x.startswith("@")]
+            inside = any(a is not b and b[: len(a)] == a for a in paths for b in paths)
+            require(not inside, f"{where} has a path within another")
+        for n, x in fields.items():
+            out[n][side] = x if kind == "direct-v1" else n
+    return out
+
+
 def effective_policy(recipe: Recipe) -> dict:
     """The recipe with every default filled in: what is hashed, explained and locked."""
     src = recipe.source
@@ -268,8 +308,7 @@ def effective_policy(recipe: Recipe) -> dict:
         out |= {"aggregate_contract": "aggregate-v1", "group_by": list(recipe.group_by), "group_nulls": "reject", "measures": measures}
     else:
         out |= {"multiset_contract": "multiset-v1", "canonical_encoding": "typed-length-prefixed-v1", "column_order": sorted(recipe.columns), "nulls_equal": True}
-    if "field_projection" in src:
-        out["field_projection"] = src["field_projection"]
+    out |= {x: src[x] for x in ("input_projection", "field_projection") if x in src}
     return out
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import analysis, profile, ranges, relations
 from .evolution import inventory_diff
+from .manifests import read_files
 from .parity import aggregate, keyed, multiset
 from .policy import Recipe, Tolerance, parse_recipe
 from .scalars import parsed
@@ -520,3 +521,10 @@ def policy_diff_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory_diff(orders, changed)
 
 
+
+
+@query(None)
+def manifest_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and digests of two tables' files; digests of files are beyond SQL."""
+    files = read_files(spark, [f"{sf_dir}/{t}.parquet" for t in ("nation", "region")])
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size", "sha256")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import gzip
 import hashlib
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .datasources import register
-from .policy import Recipe, require
+from .policy import SIDES, Recipe, require
 from .session import configure
 
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet", ".pq": "parquet"}
@@ -96,7 +97,11 @@ def read_source(spark: SparkSession, locator: str, recipe: Recipe | None = None,
     if scheme in SCHEMES:
         register(spark)
         path, _, part = rest.partition("#")
-        return spark.read.format(f"concordance_{scheme}").option("path", path).option("part", part).load()
+        reader = spark.read.format(f"concordance_{scheme}").option("path", path).option("part", part)
+        projection = recipe.source.get("field_projection", {}).get(SIDES[side], {}) if recipe else {}
+        if projection and projection["kind"] == {"json": "json-pointer-v1", "xml": "xml-field-v1"}.get(scheme):
+            reader = reader.option("fields", json.dumps(projection["fields"])).option("namespaces", json.dumps(projection.get("namespaces", {})))
+        return reader.load()
     path = Path(locator)
     kind = format_of(path)
     if kind == "parquet":

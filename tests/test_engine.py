@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from concordance import analysis, cli, evidence, evolution, manifests, profile, ranges, relations, suites
+from concordance import analysis, cli, evidence, evolution, manifests, profile, ranges, reconcile, relations, suites
 from concordance.catalog import Catalog
 from concordance.compare import Limits, compare, compare_frames
 from concordance.parity import aggregate, keyed, multiset
@@ -448,3 +448,63 @@ def test_command_line(spark, tmp_path, capsys):
     assert load_recipe(tmp_path / "r.json").fingerprint in capsys.readouterr().out
     (tmp_path / "twice.json").write_text('{"a": 1, "a": 2}')
     assert cli.main(["explain", at("twice.json")]) == 2
+
+
+def test_projected_recipes(spark, tmp_path):
+    record = {"a": {"x": "k1"}, "v": [None, "1.5"]}
+    (tmp_path / "d.json").write_text(json.dumps([record]))
+    (tmp_path / "d.xml").write_text('<r xmlns:n="urn:n"><e id="k1"><n:p><q>1.5</q></n:p></e></r>')
+    projection = {
+        "version": 1,
+        "baseline": {"kind": "json-pointer-v1", "fields": {"id": "/a/x", "v": "/v/1"}},
+        "candidate": {"kind": "xml-field-v1", "namespaces": {"n": "urn:n"}, "fields": {"id": "@id", "v": "n:p/q"}},
+    }
+    r = recipe(recipe_version=4, input_projection="semantic-scalar-v1", field_projection=projection)
+    assert compare(spark, r, f"json:{tmp_path}/d.json#", f"xml:{tmp_path}/d.xml#r/e")["outcome"] == "PASS"
+    direct = {"version": 1} | {s: {"kind": "direct-v1", "fields": {"id": "key", "v": "val"}} for s in ("baseline", "candidate")}
+    r = recipe(recipe_version=4, input_projection="semantic-scalar-v1", field_projection=direct)
+    df = texts(spark, [("a", "1")], ("key", "val"))
+    assert compare_frames(r, df, df)["outcome"] == "PASS"
+    for bad in ({"fields": {"id": "a/x", "v": "/v"}}, {"fields": {"id": "/a~2", "v": "/v"}}, {"fields": {"id": "/a"}}, {"kind": "other"}):
+        with pytest.raises(PolicyError):
+            recipe(recipe_version=4, input_projection="semantic-scalar-v1", field_projection=projection | {"baseline": projection["baseline"] | bad})
+    with pytest.raises(PolicyError):
+        recipe(input_projection="loose")
+
+
+def test_reconciliation(spark):
+    def keyed_recipe(key, **columns):
+        base = {"at": {"type": "timestamp", "timezone": "require-aware"}, "amount": {"type": "decimal", "scale": 2}}
+        return parse_recipe(copy.deepcopy(KEYED | {"keys": [key], "columns": {key: {"type": "string"}, **columns, **base}}))
+
+    pay, out = keyed_recipe("pid", oid={"type": "string"}), keyed_recipe("oid")
+    payments = texts(spark, [("p1", "o1", "2026-09-02T00:00:00Z", "1.00"), ("p2", "o1", "2026-09-03T00:00:00Z", "2.00")], ("pid", "oid", "at", "amount"))
+    payouts = texts(spark, [("o1", "2026-09-04T00:00:00Z", "3.00")], ("oid", "at", "amount"))
+    inputs = {"payments": (pay, payments, payments), "payouts": (out, payouts, payouts)}
+    receipt = b"receipt"
+    import hashlib
+
+    tokens = [{"id": i, "event_time_column": "at", "snapshot_token": "s", "token_domain": "d"} for i in inputs]
+    alignment = {"alignment_version": 1, "event_window": {"start": "2026-09-01T00:00:00Z", "end": "2026-10-01T00:00:00Z", "bounds": "start-inclusive-end-exclusive"}, "coordination": {"mode": "source-snapshot", "claim_id": "c", "receipt_sha256": hashlib.sha256(receipt).hexdigest()}, "datasets": tokens}
+    checks = [
+        {"id": "payout-id", "kind": "identity", "dataset": "payouts", "columns": ["oid"], "nulls": "forbid"},
+        {"id": "link", "kind": "reference", "child_dataset": "payments", "child_columns": ["oid"], "parent_identity": "payout-id", "nulls": "forbid"},
+        {"id": "sum", "kind": "conservation", "parent_dataset": "payouts", "parent_identity": "payout-id", "parent_group_columns": ["oid"], "child_dataset": "payments", "child_group_columns": ["oid"], "parent_measure": "amount", "child_measure": "amount", "operator": "sum", "nulls": "forbid", "comparison": "exact", "tolerance": None},
+    ]
+
+    def declared(recipes=inputs, checks=checks, alignment=alignment):
+        columns = {k: [{"name": n, "type": f.type} for n, f in r[0].columns.items()] for k, r in recipes.items()}
+        return {"reconciliation_version": 1, "alignment_sha256": reconcile.read_alignment(alignment)["alignment_sha256"], "datasets": [{"id": k, "policy_sha256": r[0].fingerprint, "columns": columns[k]} for k, r in recipes.items()], "checks": checks}
+
+    got = reconcile.reconcile(alignment, declared(), receipt, inputs)
+    assert got["outcome"] == "PASS" and not any(reconcile.diagnosis(got).values())
+    wrong = payments.withColumn("oid", F.when(F.col("pid") == "p2", "o9").otherwise(F.col("oid")))
+    got = reconcile.reconcile(alignment, declared(), receipt, inputs | {"payments": (pay, payments, wrong)})
+    found = reconcile.diagnosis(got)
+    assert got["outcome"] == "FAIL" and (found["reference_orphan"], found["conservation_different"], found["conservation_child_only"]) == (1, 1, 1)
+    assert reconcile.reconcile(alignment, declared(), b"other", inputs)["alignment"]["reason_codes"] == ["receipt-mismatch"]
+    late = alignment | {"coordination": alignment["coordination"] | {"mode": "declared-cutoff"}, "datasets": [{k: d[k] for k in ("id", "event_time_column")} for d in tokens]}
+    assert reconcile.reconcile(late, declared(alignment=late), receipt, inputs)["outcome"] == "INCONCLUSIVE"
+    for bad in ([checks[1]], [checks[0], checks[0]], [checks[0], checks[1] | {"child_columns": ["amount"]}], [checks[0] | {"nulls": "zero"}]):
+        with pytest.raises(PolicyError):
+            reconcile.read_reconciliation(declared(checks=bad), {k: v[0] for k, v in inputs.items()})
