@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, about.
+BATCH_BYTES = "8m"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -65,9 +68,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[object, dict] = {}
+
+
+def kept(owner: object) -> dict:
+    """What a Python worker keeps from task to task for one owner; what others kept is let go.
+
+    A reused worker thus holds the tables of one operator at a time.
+    """
+    for other in [x for x in _kept if x != owner]:
+        del _kept[other]
+    return _kept.setdefault(owner, {})
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give the workers this package, and batches of bounded bytes."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers have this package."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -75,7 +97,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a record batch so that each slice holds about ``limit`` bytes of ``column``.
 
     A row longer than the limit makes a slice of its own.
@@ -93,7 +115,7 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Ite
 
 
 
-def text_slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[list[str | None]]:
+def text_slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[list[str | None]]:
     """The values of a string array in lists of about ``limit`` bytes."""
     batch = pa.RecordBatch.from_arrays([texts], names=["text"])
     for part in byte_slices(batch, "text", limit):

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import in_arrow, staged
+from .common import in_arrow, prepare, staged
 from .components import components
 
 #: Vectors of a block, about: one task holds two blocks.
@@ -218,7 +217,7 @@ def _cells(groups: DataFrame, least_cosine: float) -> DataFrame:
         centres.setdefault(r.part, []).append(r.vector)
     unit = {k: np.array(v) / np.sqrt((np.array(v) ** 2).sum(1))[:, None] for k, v in centres.items()}
     sent = spark.sparkContext.broadcast(unit)
-    ship(spark)
+    prepare(spark)
 
     @F.arrow_udf("cell int, far double")
     def nearest(parts: pa.Array, vectors: pa.Array) -> pa.Array:

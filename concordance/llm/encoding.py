@@ -11,10 +11,14 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
+from .common import kept
+
 #: White space other than blank and line feed: there, pieces of a text may
 #: depend on their neighbours.
 ODD_SPACE = re.compile(r"[^\S \n]")
@@ -27,7 +31,7 @@ BLANK = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a text that are cut into pieces at once.
 SEGMENT = 1 << 18
 #: Distinct pieces that a worker remembers; beyond it, it forgets and starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 
 def segments(text: str, limit: int = SEGMENT) -> Iterator[str]:
@@ -92,14 +96,17 @@ class IdEncoder:
         from tokenizers import Tokenizer
 
         self.library, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        self.code = {1: "B", 2: "H", 4: "I"}[self.dtype.itemsize]  # in the machine's order, which is little-endian
         self.library.no_padding()
         self.library.no_truncation()
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are written in the machine's order, which must be little-endian")
         if self.library.get_vocab_size() > 1 << 8 * self.dtype.itemsize:
             raise ValueError(f"{dtype} can't hold the ids of this vocabulary")
         self.pieces = PieceEncoder(WORDS_AND_STOPS, self._by_library, b"".join)
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [[*segments(x)] for x in texts]
@@ -154,14 +161,12 @@ class BackendCounter:
         return [len(x) // 4 for x in self.ids(texts)]
 
 
-_loaded: dict[tuple, object] = {}
-
-
 def loaded(kind: type, *args):
     """The worker's own instance; a reused worker keeps it from task to task."""
-    if (kind, args) not in _loaded:
-        _loaded[kind, args] = kind(*args)
-    return _loaded[kind, args]
+    own = kept((kind.__name__, args))
+    if not own:
+        own["it"] = kind(*args)
+    return own["it"]
 
 
 def counter(path: str):

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import text_slices
+from .common import kept, prepare, text_slices
 
 #: Stands for "no language".
 UNDETERMINED = "und"
@@ -149,9 +148,6 @@ class CrossParser:
         return [self.languages[i] if k else UNDETERMINED for i, k in zip(best, known, strict=True)], score, rate
 
 
-_parsers: dict[tuple, CrossParser] = {}
-
-
 def fit_samples(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", pieces: int = 64, piece_chars: int = 256) -> dict[str, str]:
     """A bounded sample per language: ``pieces`` stretches of ``piece_chars`` characters.
 
@@ -180,17 +176,17 @@ def fit_samples(labelled: DataFrame, lang_col: str = "lang", text_col: str = "te
 
 def predictor(docs: DataFrame, samples: dict[str, str]) -> Callable[[Column], Column]:
     """A function from a text column to a struct (lang, score, rate); Arrow batches, no shuffle."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))
 
     @F.arrow_udf("lang string, score double, rate double")
     def predict(texts: pa.Array) -> pa.Array:
-        if sent.value not in _parsers:
-            _parsers.clear()
-            _parsers[sent.value] = CrossParser(dict(sent.value))
-        parse = _parsers[sent.value]
+        own = kept(("languages", sent.value))
+        if not own:
+            own["parse"] = CrossParser(dict(sent.value))
+        parse = own["parse"]
         langs, scores, rates = [], [], []
-        for some in text_slices(texts):
+        for some in text_slices(texts, 2 << 20):
             a, b, c = parse(some)
             langs += a
             scores.append(b)

@@ -22,8 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import in_arrow, staged, text_slices
+from .common import in_arrow, kept, prepare, staged, text_slices
 from .components import components
 
 #: A to Z in lower case, byte by byte.
@@ -269,10 +268,11 @@ def _in_buckets(keyed: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, print): the whole texts' fingerprints as longs; one narrow pass."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
+        kept("simhash")
         out = [fingerprint((x or "").encode(), shingle) for some in text_slices(texts) for x in some]
         return pa.array(np.array(out, np.uint64).view(np.int64))
 

@@ -13,7 +13,7 @@ from . import encoding
 from .common import byte_slices, in_arrow
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """Tokens of every whole text, as the library of ``tokenizer`` counts them.
 
     ``tokenizer`` is the path of a ``.json`` (tokenizers) or ``.model``

@@ -20,8 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import in_arrow, staged, text_slices
+from .common import in_arrow, kept, prepare, staged, text_slices
 
 WORD = re.compile(r"\w+")
 #: Words, contexts and bigrams that a model holds at most: those with at least a
@@ -96,7 +95,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     bits = np.zeros(FILTER_BITS // 32, np.int64)
     bits[words["at"].to_numpy(np.int64)] = words["bits"]
     sent = docs.sparkSession.sparkContext.broadcast(bits.astype(np.uint32))
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     @F.arrow_udf("boolean")
     def passes(hashed: pa.Array) -> pa.Array:
@@ -118,11 +117,12 @@ def _flush(counts: tuple[Counter, ...]) -> pa.RecordBatch:
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with each word, by fold and class."""
+    kept("toxicity")
     counts = tuple(Counter() for _ in COUNTS)
     for batch in batches:
         for text, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
             counts[kind].update(set(WORD.findall(text.lower())))
-        if sum(map(len, counts)) > 300_000:
+        if sum(map(len, counts)) > 150_000:
             yield _flush(counts)
     yield _flush(counts)
 
@@ -247,11 +247,12 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def scorer(docs: DataFrame, model: Model, what: str = "score") -> Callable[[Column], Column]:
     """A function from a text column to the score or statistic; Arrow batches, no shuffle."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
+        kept("toxicity")
         parts = [getattr(sent.value, what)(some) for some in text_slices(texts)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0))
 
