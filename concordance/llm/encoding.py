@@ -31,7 +31,7 @@ BLANK = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a text that are cut into pieces at once.
 SEGMENT = 1 << 18
 #: Distinct pieces that a worker remembers; beyond it, it forgets and starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 1_200_000
 
 
 def segments(text: str, limit: int = SEGMENT) -> Iterator[str]:
