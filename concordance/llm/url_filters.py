@@ -84,10 +84,11 @@ def templates(path: Column) -> Column:
 def merged_siblings(siblings: list[dict]) -> list[int]:
     """For each sibling (seg, n, blocked, labelled, kids: share by segment) the index of its branch.
 
-    In order of their pages, a sibling joins the first branch that it is alike to, whose
-    shares and labels are then those of all its members together.
+    Labelled siblings first and then in order of their pages, a sibling joins the first
+    branch that it is alike to, whose shares and labels are then those of all its members
+    together.  One without labels so gets those of a branch of like shape.
     """
-    order = sorted(range(len(siblings)), key=lambda i: (-siblings[i]["n"], siblings[i]["seg"]))
+    order = sorted(range(len(siblings)), key=lambda i: (siblings[i]["labelled"] == 0, -siblings[i]["n"], siblings[i]["seg"]))
     branches: list[dict] = []
     out = [0] * len(siblings)
     for i in order:
@@ -107,13 +108,16 @@ def merged_siblings(siblings: list[dict]) -> list[int]:
 
 
 def alike(a: dict, b: dict) -> bool:
+    """Whether children and labels are alike; where one has no labels, there must be children to tell by."""
     ta, tb = sum(a["kids"].values()) or 1, sum(b["kids"].values()) or 1
     apart = sum(abs(a["kids"].get(k, 0) / ta - b["kids"].get(k, 0) / tb) for k in a["kids"].keys() | b["kids"].keys()) / 2
     if apart > SHAPE_DISTANCE:
         return False
+    if not (a["labelled"] and b["labelled"]):
+        return bool(a["kids"]) or a["labelled"] == b["labelled"]
     pa_, pb = purity(a["blocked"], a["labelled"]), purity(b["blocked"], b["labelled"])
     variance = sum(p * (1 - p) / (x["labelled"] + PRIOR_LABELLED) for p, x in ((pa_, a), (pb, b)))
-    return abs(pa_ - pb) <= LABEL_SD * variance**0.5 and (a["labelled"] > 0) == (b["labelled"] > 0)
+    return abs(pa_ - pb) <= LABEL_SD * variance**0.5
 
 
 def purity(blocked: float, labelled: float) -> float:
@@ -176,8 +180,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
 
     The longest rule that fits decides.  The pages that rules decide are the labelled ones
     of the template tree (``template_tree``); a page without a rule is blocked if the
-    smoothed purity of its template's branch is at least ``threshold``.  A template without
-    labels has the prior's purity, 0.25.
+    smoothed purity of its template's branch is at least ``threshold``.  A branch that has
+    no labels, its merged siblings' included, has the prior's purity, 0.25.
 
     Null urls and urls without ``://`` have empty host and path, no rule, and the template
     of these.  Null ids and repeated rows are judged like others (each row counts as a

@@ -213,3 +213,13 @@ def test_urls_awkward(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, host string, label int")
     got = U.judge(df, RULES)
     assert got.count() == 5 and U.judge(df.limit(0), RULES).count() == 0
+
+
+def test_unlabelled_siblings_share_labels(spark):
+    """On a.net the contract's rules block es and fr; en has their shape, docs has another and about has none."""
+    paths = [f"{x}/{i}.html" for x in ("es", "fr", "en") for i in range(30)] + [f"docs/{i}/edit" for i in range(30)] + ["about"]
+    urls = [f"http://a.net/{p}" for p in paths] + [f"http://b.org/en/{i}.html" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: (r.rule, r.verdict) for r in U.judge(df, RULES).collect()}
+    assert {got[u] for u in urls if "a.net/en/" in u} == {(None, "block")}
+    assert {got[u] for u in urls if "docs/" in u or "about" in u or "b.org" in u} == {(None, "allow")}
