@@ -23,10 +23,7 @@ from pyspark.sql import functions as F
 from .common import in_arrow, kept, prepare, staged, text_slices
 
 WORD = re.compile(r"\w+")
-#: Words, contexts and bigrams that a model holds at most: those with at least a
-#: MODEL_SIZE-th of all training counts, of which there can't be more.
-MODEL_SIZE = 1 << 18
-#: Lowest count of a word or bigram with an entry of its own.
+#: Lowest count of a word or bigram with an entry of its own, whatever the number of texts.
 LEAST_COUNT = 5
 #: Of the counts: fold a or b, then the class.
 COUNTS = ("a0", "a1", "b0", "b1")
@@ -136,8 +133,10 @@ def train(labelled: DataFrame) -> Model:
     hash of the id: the larger fold's model gives the statistic of the other's texts, and
     both folds together the final model.
 
-    What comes to the driver is at most ``MODEL_SIZE`` words, as many contexts and as many
-    bigrams, and the statistic of about ``FIT_ROWS`` rows drawn by a hash of their id.
+    Every word and bigram in at least ``LEAST_COUNT`` texts has an entry, so the model, which
+    comes to the driver and is broadcast, grows with the labelled texts.  Only the
+    statistics that the logistic function is fitted on are bounded: those of about
+    ``FIT_ROWS`` rows drawn by a hash of their id.
     """
     spark = labelled.sparkSession
     fold = (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(5)) == 0).cast("int")
@@ -146,9 +145,7 @@ def train(labelled: DataFrame) -> Model:
     every = sum((F.col(x) for x in COUNTS[1:]), F.col(COUNTS[0]))
     counted = in_arrow(labelled.select("text", "kind"), _word_counts, "word string, " + ", ".join(f"{x} long" for x in COUNTS))
     words = staged(counted.groupBy("word").agg(*sums), "words")
-    total = words.agg(F.sum(every)).first()[0] or 0
-    least = max(LEAST_COUNT, -(-total // MODEL_SIZE))
-    found = words.filter(every >= least).orderBy("word").toPandas()
+    found = words.filter(every >= LEAST_COUNT).orderBy("word").toPandas()
     vocabulary = {w: i + 1 for i, w in enumerate(found["word"])}
     texts = np.zeros((len(COUNTS), len(found) + 1))
     texts[:, 1:] = found[[*COUNTS]].to_numpy(float).T
@@ -169,20 +166,20 @@ def train(labelled: DataFrame) -> Model:
     pairs = staged(pairs.groupBy("key").agg(*sums), "bigrams")
     sizes = labelled.agg(*(F.count_if(F.col("kind") == k) for k in range(len(COUNTS)))).first()
     toxic, rows = sizes[1] + sizes[3], sum(sizes)
-    final = _model(pairs, vocabulary, texts[:2] + texts[2:], least, ("a0 + b0", "a1 + b1"))
+    final = _model(pairs, vocabulary, texts[:2] + texts[2:], ("a0 + b0", "a1 + b1"))
     if not all(sizes):
         share = (toxic + 1) / (rows + 2)
         final.fit = (float(np.log(share / (1 - share))), 0.0)
         return final
     held = labelled.filter("kind >= 2")
     drawn = held.filter(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(-(-(sizes[2] + sizes[3]) // FIT_ROWS))) == 0)
-    found = drawn.select("toxic", scorer(drawn, _model(pairs, vocabulary, texts[:2], least, ("a0", "a1")), "statistic")(F.col("text")).alias("x")).toPandas()
+    found = drawn.select("toxic", scorer(drawn, _model(pairs, vocabulary, texts[:2], ("a0", "a1")), "statistic")(F.col("text")).alias("x")).toPandas()
     if len(found):
         final.fit = calibrated(found["x"].to_numpy(float), found["toxic"].to_numpy(float))
     return final
 
 
-def _model(pairs: DataFrame, vocabulary: dict[str, int], texts: np.ndarray, least: int, counts: tuple[str, str]) -> Model:
+def _model(pairs: DataFrame, vocabulary: dict[str, int], texts: np.ndarray, counts: tuple[str, str]) -> Model:
     """The model of the bigram counts that two expressions give: ordinary, toxic.
 
     ``texts``: texts with each word, by class.  Both orders start from Kneser-Ney
@@ -196,7 +193,7 @@ def _model(pairs: DataFrame, vocabulary: dict[str, int], texts: np.ndarray, leas
     discount = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
     after = pairs.groupBy(F.pmod("key", F.lit(n)).alias("i")).agg(F.count(F.lit(1)).alias("t")).toPandas()
     context = pairs.groupBy(F.floor(F.col("key") / n).alias("i")).agg(F.sum(both).alias("n")).toPandas()
-    frequent = pairs.filter(both >= least).toPandas().sort_values("key")
+    frequent = pairs.filter(both >= LEAST_COUNT).toPandas().sort_values("key")
 
     def dense(frame, column: str) -> np.ndarray:
         out = np.zeros(n)

@@ -75,3 +75,14 @@ def test_rejection(corpus, awkward):
     assert kept.columns == extra.columns and kept.count() == 320
     assert kept.filter("doc_id % 5 = 1").count() == 0
     assert X.not_toxic(awkward, corpus, corpus.select("doc_id", "toxic")).count() == awkward.count()
+
+
+def test_entries_need_the_same_count_on_large_tables(spark):
+    """1.6 million word-text counts, of which a word and its bigram have six."""
+    common = " ".join(f"w{i}" for i in range(400))
+    texts = F.when(F.col("id") < 6, f"rarevile phrase {common}").otherwise(common)
+    rows = spark.range(4000).select("id", texts.alias("text"), (F.col("id") < 6).cast("int").alias("toxic"))
+    model = X.train(rows)
+    assert {"rarevile", "phrase"} < set(model.words)
+    n = len(model.words) + 1
+    assert model.words["rarevile"] * n + model.words["phrase"] in model.keys
