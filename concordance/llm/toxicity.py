@@ -32,6 +32,8 @@ COUNTS = ("a0", "a1", "b0", "b1")
 DISCOUNT_SD, SHARED_COUNT = 4.0, 20.0
 #: Bits of the filter that spares most unlabelled texts the shuffle.
 FILTER_BITS = 1 << 24
+#: Bigrams whose ratios are computed at once.
+CHUNK = 1 << 16
 #: Labelled rows that the logistic function is fitted on, about.
 FIT_ROWS = 8192
 
@@ -145,10 +147,11 @@ def train(labelled: DataFrame) -> Model:
     every = sum((F.col(x) for x in COUNTS[1:]), F.col(COUNTS[0]))
     counted = in_arrow(labelled.select("text", "kind"), _word_counts, "word string, " + ", ".join(f"{x} long" for x in COUNTS))
     words = staged(counted.groupBy("word").agg(*sums), "words")
-    found = words.filter(every >= LEAST_COUNT).orderBy("word").toPandas()
-    vocabulary = {w: i + 1 for i, w in enumerate(found["word"])}
+    found = words.filter(every >= LEAST_COUNT).orderBy("word").toArrow()
+    vocabulary = {w: i + 1 for i, w in enumerate(found["word"].to_pylist())}
     texts = np.zeros((len(COUNTS), len(found) + 1))
-    texts[:, 1:] = found[[*COUNTS]].to_numpy(float).T
+    for i, x in enumerate(COUNTS):
+        texts[i, 1:] = found[x].to_numpy()
     n = len(vocabulary) + 1
     sent = spark.sparkContext.broadcast(vocabulary)
 
@@ -191,26 +194,31 @@ def _model(pairs: DataFrame, vocabulary: dict[str, int], texts: np.ndarray, coun
     both = F.col("n0") + F.col("n1")
     once, twice = pairs.agg(F.count_if(both == 1), F.count_if(both == 2)).first()
     discount = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
-    after = pairs.groupBy(F.pmod("key", F.lit(n)).alias("i")).agg(F.count(F.lit(1)).alias("t")).toPandas()
-    context = pairs.groupBy(F.floor(F.col("key") / n).alias("i")).agg(F.sum(both).alias("n")).toPandas()
-    frequent = pairs.filter(both >= LEAST_COUNT).toPandas().sort_values("key")
+    after = pairs.groupBy(F.pmod("key", F.lit(n)).alias("i")).agg(F.count(F.lit(1)).alias("t")).toArrow()
+    context = pairs.groupBy(F.floor(F.col("key") / n).alias("i")).agg(F.sum(both).alias("n")).toArrow()
+    frequent = pairs.filter(both >= LEAST_COUNT).toArrow().sort_by("key")
 
     def dense(frame, column: str) -> np.ndarray:
         out = np.zeros(n)
-        out[frame["i"].to_numpy(np.int64)] = frame[column]
+        out[frame["i"].to_numpy()] = frame[column].to_numpy()
         return out
 
     types, held = dense(after, "t"), np.maximum(dense(context, "n"), 1)
-    keys = frequent["key"].to_numpy(np.int64)
-    of_class = frequent[["n0", "n1"]].to_numpy(float).T
+    keys = frequent["key"].to_numpy()
+    of_class = np.array([frequent[x].to_numpy() for x in ("n0", "n1")], float)
+    del frequent
     before, word = keys // n, keys % n
     shared = (np.maximum(types - discount, 0) + discount * (types > 0).sum() / n) / max(types.sum(), 1) + 1e-12
     kept = (of_class.sum(0) - discount) / held[before]
     backoff = 1 - np.bincount(before, kept, n)
     part = (texts.sum(1, keepdims=True) + 0.5) / (texts.sum() + 1)
     ratio = class_ratio(texts, part)
-    pair_ratio = class_ratio(of_class, np.clip(part * ratio[:, word], 1e-6, 1 - 1e-6))
-    return Model(vocabulary, shared * ratio, np.stack([backoff, backoff]), keys, kept * pair_ratio * ratio[:, word])
+    extra = np.empty_like(of_class)
+    for i in range(0, len(keys), CHUNK):
+        at = slice(i, i + CHUNK)
+        of_word = ratio[:, word[at]]
+        extra[:, at] = kept[at] * class_ratio(of_class[:, at], np.clip(part * of_word, 1e-6, 1 - 1e-6)) * of_word
+    return Model(vocabulary, shared * ratio, np.stack([backoff, backoff]), keys, extra)
 
 
 def class_ratio(counts: np.ndarray, part: np.ndarray) -> np.ndarray:
