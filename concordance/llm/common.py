@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ from ..session import ship
 #: Bytes of an Arrow batch between the JVM and a Python worker, about.
 BATCH_BYTES = "8m"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; deleted when the driver exits."""
+    """A fresh path in the shared folder; deleted when the session ends or the driver exits."""
+    if not _written:
+        _before_stop(spark)
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
@@ -48,13 +51,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _before_stop(spark: SparkSession) -> None:
+    """Clean up when the session is stopped, while its JVM can still delete."""
+    stop = spark.stop
+
+    def clean_and_stop() -> None:
+        _clean()
+        stop()
+
+    spark.stop = clean_and_stop  # type: ignore[method-assign]
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
-        try:
+    for path, spark in list(_written.items()):
+        with contextlib.suppress(Exception):  # the session may have ended already; the other paths still go
             drop_path(spark, path)
-        except Exception:  # noqa: BLE001 - the session may have ended already
-            return
+        _written.pop(path, None)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -64,8 +77,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``staged`` gave, once nothing will read it again."""
+    path = df.staged_at
+    drop_path(_written.pop(path), path)
 
 
 _kept: dict[object, dict] = {}
@@ -113,8 +134,6 @@ def byte_slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Ite
         yield batch.slice(begin)
 
 
-
-
 def text_slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[list[str | None]]:
     """The values of a string array in lists of about ``limit`` bytes."""
     batch = pa.RecordBatch.from_arrays([texts], names=["text"])
