@@ -2,9 +2,10 @@
 
 A text is cut at *safe boundaries*: places where no token of the whole text can
 lie on both sides, so that the tokens of the text are the tokens of its pieces
-put together.  Words repeat, so each worker keeps the tokens of the pieces that
-it has met and asks the library only for new ones.  Where a text holds anything
-that makes the boundaries doubtful, it is handed to the library as a whole.
+put together.  A batch of texts is cut into words and its distinct words are found by
+Arrow; each worker keeps the tokens of the words that it has met and asks the
+library only for new ones; numpy puts the words' tokens together.  Where a text holds
+anything that makes the boundaries doubtful, it goes to the library in longer parts.
 """
 
 from __future__ import annotations
@@ -14,31 +15,47 @@ import re
 import sys
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import kept
 
-#: White space other than blank and line feed: there, pieces of a text may
+#: White space other than blank and line feed: there, pieces of a word may
 #: depend on their neighbours.
 ODD_SPACE = re.compile(r"[^\S \n]")
-#: Blanks with the word after them; the punctuation after a word on its own.  A
-#: capital I with a dot ends no word here: in lower case it ends with a mark.
-WORDS_AND_STOPS = re.compile(r"[ \n]*[^ \n.,|]++(?<=[^\W_İ])(?=[.,|])|[ \n]*[^ \n]+|[ \n]+")
+#: For Arrow: a blank between white space (or what may pass for it) and white space or the
+#: end; tokenizers that keep runs of white space together don't cut before it.
+DOUBTFUL_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\x{200b}\p{Z}] (?:[\s\x0b\x1c-\x1f\x{85}\x{180e}\x{200b}\p{Z}]|$)"
+#: Characters that all versions of Unicode have as letters or digits; not the capital I with
+#: a dot, which in lower case ends with a mark.
+PLAIN = r"0-9A-Za-zÀ-ÖØ-öø-įı-ɏЀ-ҁҊ-ӿ"
+#: Blanks with the word after them; the punctuation after a word on its own.
+WORDS_AND_STOPS = re.compile(rf"[ \n]*[^ \n.,|]++(?<=[{PLAIN}])(?=[.,|])|[ \n]*[^ \n]+|[ \n]+")
 WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: A blank between two characters that are no white space.
-BLANK = re.compile(r"(?<=\S) (?=\S)")
-#: Characters of a text that are cut into pieces at once.
+#: A blank between two characters that are no white space and not sentencepiece's mark.
+BLANK = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+#: That, or a stop after a letter or digit, where pre-tokenizers cut as well.
+BLANK_OR_STOP = re.compile(rf"(?<=[^\s▁]) (?=[^\s▁])|(?<=[{PLAIN}])(?=[.,;:!?+/=])")
+#: Characters that the library gets at once, about, where a text has safe boundaries.
 SEGMENT = 1 << 18
-#: Distinct pieces that a worker remembers; beyond it, it forgets and starts anew.
-REMEMBERED = 1_200_000
+#: Bytes of text that are cut into words at once.
+BATCH = 1 << 23
+#: Distinct pieces, and words, that a worker remembers, and their characters; beyond
+#: these, it forgets some.
+REMEMBERED, REMEMBERED_CHARACTERS = 800_000, 1 << 24
 
 
-def segments(text: str, limit: int = SEGMENT) -> Iterator[str]:
-    """Cut a very long text at safe blanks, at the first one after each ``limit`` characters."""
+def segments(text: str, limit: int = SEGMENT, boundary: re.Pattern = BLANK) -> Iterator[str]:
+    """Cut a very long text at safe boundaries, at the first one after each ``limit`` characters.
+
+    A run without any stays whole: of letters only it is one word to the tokenizer.
+    """
     begin = 0
     while len(text) - begin > limit:
-        found = BLANK.search(text, begin + limit)
+        found = boundary.search(text, begin + limit)
         if not found:
             break
         yield text[begin : found.start()]
@@ -48,75 +65,180 @@ def segments(text: str, limit: int = SEGMENT) -> Iterator[str]:
 
 
 class PieceEncoder:
-    """Encodes texts piece by piece; ``encode_new`` gives the values of new pieces.
+    """Encodes words piece by piece; ``encode_new`` gives the values of new pieces.
 
-    At most ``remembered`` pieces are kept, in two generations: when the young one holds
-    half of them it becomes the old one, and pieces met again come back from there.
+    A word without any of the characters ``cuts`` is one piece.  At most ``remembered``
+    pieces (and REMEMBERED_CHARACTERS) are kept, in two generations: when the young one
+    holds half of that it becomes the old one, and pieces met again come back from there.
     """
 
-    def __init__(self, pattern: re.Pattern, encode_new: Callable[[list[str]], list], join: Callable[[list], object], remembered: int = REMEMBERED):
+    def __init__(self, pattern: re.Pattern, encode_new: Callable[[list[str]], list], join: Callable[[list], object], cuts: str = "\n", remembered: int = REMEMBERED):
         self.pattern, self.encode_new, self.join, self.half = pattern, encode_new, join, remembered // 2
+        self.cut = re.compile(f"[{re.escape(cuts)}]|(?<=[^ ]) ")
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
-
-    def __call__(self, texts: list[str]) -> list:
-        findall, join, get = self.pattern.findall, self.join, self.young.get
-        out: list = []
-        waiting, unknown = [], set()
-        for i, text in enumerate(texts):
-            pieces = findall(text)
-            values = list(map(get, pieces))
-            if None in values:
-                waiting.append((i, pieces))
-                unknown.update([p for p, v in zip(pieces, values, strict=True) if v is None])
-                out.append(None)
-            else:
-                out.append(join(values))
-        if unknown:
-            again = {p: v for p in unknown if (v := self.old.get(p)) is not None}
-            new = [*(unknown - again.keys())]
-            again.update(zip(new, self.encode_new(new), strict=True))
-            self.young.update(again)
-            for i, pieces in waiting:
-                out[i] = join(list(map(get, pieces)))
-            if len(self.young) > self.half:
-                self.old, self.young = self.young, {}
+        self.characters = 0
+
+    def __call__(self, words: list[str]) -> list:
+        young, old, cut = self.young, self.old, self.cut.search
+        longer = [i for i, w in enumerate(words) if cut(w)]
+        pieces = [self.pattern.findall(words[i]) for i in longer]
+        wanted = set(words).difference(map(words.__getitem__, longer)).union(*pieces).difference(young)
+        again = {p: old[p] for p in wanted if p in old}
+        new = [*wanted.difference(again)]
+        again.update(zip(new, self.encode_new(new), strict=True))
+        young.update(again)
+        out = list(map(young.get, words))
+        for i, parts in zip(longer, pieces, strict=True):
+            out[i] = self.join(list(map(young.__getitem__, parts)))
+        self.characters += sum(map(len, again))
+        if len(young) > self.half or self.characters > REMEMBERED_CHARACTERS // 2:
+            self.old, self.young, self.characters = young, {}, 0
         return out
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The words between blanks: the distinct one of each, the distinct ones, and where each text begins."""
+    words = pc.split_pattern(texts, " ")
+    coded = words.flatten().dictionary_encode()
+    begins = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), begins
+
+
+def gathered(source: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``source`` that begin there and are so long, one after another."""
+    ends = np.cumsum(sizes)
+    at = np.repeat((begins - ends + sizes).astype(np.int32), sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return source[at]
+
+
+class WordTable:
+    """Slots of words, given out as words are met.
+
+    ``add(words)`` gives the new words' values, by slot, to its owner; ``keep(slots)`` leaves
+    it those slots, renumbered in order.  Before a batch, beyond REMEMBERED words or
+    REMEMBERED_CHARACTERS, those met in one batch only since the last time are
+    forgotten, and all if that isn't enough.
+    """
+
+    def __init__(self, add: Callable[[list[str]], None], keep: Callable[[np.ndarray], None]):
+        self.add, self.keep = add, keep
+        self.slots: dict[str, int] = {}
+        self.met = np.empty(0, np.int64)
+        self.characters = 0
+        keep(self.met)
+
+    def start(self) -> None:
+        """Before a batch: forget what is too much."""
+        if len(self.slots) <= REMEMBERED and self.characters <= REMEMBERED_CHARACTERS:
+            return
+        again = self.met > 1
+        words = [w for w, stays in zip(self.slots, again.tolist(), strict=True) if stays]
+        if len(words) > REMEMBERED // 2 or sum(map(len, words)) > REMEMBERED_CHARACTERS // 2:
+            words, again = [], np.zeros(len(again), bool)
+        self.slots, self.characters = dict(zip(words, range(len(words)), strict=True)), sum(map(len, words))
+        self.met = np.zeros(len(words), np.int64)
+        self.keep(np.flatnonzero(again))
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """The slots of distinct words."""
+        found = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(found < 0)
+        if len(at):
+            new = [words[i] for i in at.tolist()]
+            found[at] = np.arange(len(self.slots), len(self.slots) + len(new))
+            self.slots.update(zip(new, found[at].tolist(), strict=True))
+            self.characters += sum(map(len, new))
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+            self.add(new)
+        self.met[found] += 1
+        return found
+
+
 class IdEncoder:
-    """Token ids of whole texts by the tokenizers library, as little-endian bytes.
+    """Token ids of whole texts by the tokenizers library.
 
-    ``dtype`` is ``<u2`` or ``<u4``.  Special strings inside texts are handled
-    as the library does by default; no special tokens are added.
+    ``dtype`` (``<u2`` or ``<u4``) is what the ids must fit.  Special strings inside texts
+    are handled as the library does by default; no special tokens are added.
     """
 
     def __init__(self, path: str, dtype: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
-        self.code = {1: "B", 2: "H", 4: "I"}[self.dtype.itemsize]  # in the machine's order, which is little-endian
+        self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         if sys.byteorder != "little":
             raise RuntimeError("ids are written in the machine's order, which must be little-endian")
-        if self.library.get_vocab_size() > 1 << 8 * self.dtype.itemsize:
+        if self.library.get_vocab_size() > 1 << 8 * np.dtype(dtype).itemsize:
             raise ValueError(f"{dtype} can't hold the ids of this vocabulary")
-        self.pieces = PieceEncoder(WORDS_AND_STOPS, self._by_library, b"".join)
+        # Special strings that take the blanks around them, or would be cut themselves, cross boundaries.
+        special = self.library.get_added_tokens_decoder().values()
+        self.whole = any(x.lstrip or x.rstrip or x.single_word or WORDS_AND_STOPS.findall(x.content) != [x.content] or BLANK_OR_STOP.search(x.content) for x in special)
+        self.pieces = PieceEncoder(WORDS_AND_STOPS, self._by_library, b"".join, cuts="\n.,|")
+        self.ids, self.begins, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.words = WordTable(self._add, self._keep)
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        encode = self.library.encode_batch_fast
+        return [array("I", x.ids).tobytes() for i in range(0, len(texts), 4096) for x in encode(texts[i : i + 4096], add_special_tokens=False)]
+
+    def _add(self, words: list[str]) -> None:
+        """A word stands with the blank before it; one that begins with a blank is a text's first, without it."""
+        spelled = [w[1:] if w[:1] == " " else " " + w for w in words]
+        odd = [i for i, w in enumerate(spelled) if ODD_SPACE.search(w)] if ODD_SPACE.search("".join(spelled)) else []
+        clean = spelled if not odd else spelled.copy()
+        for i in odd:
+            clean[i] = ""
+        encoded = self.pieces(clean)
+        for i in odd:
+            encoded[i] = b"".join(self._by_library([*segments(spelled[i], boundary=BLANK_OR_STOP)]))
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(encoded), np.uint32)])
+
+    def _keep(self, slots: np.ndarray) -> None:
+        sizes = self.sizes[slots]
+        self.ids = gathered(self.ids, self.begins[slots], sizes)
+        self.begins, self.sizes = np.cumsum(sizes) - sizes, sizes
+
+    def flat(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, each with ``end_id`` behind, and their offsets."""
+        texts = texts.fill_null("")
+        odd = np.ones(len(texts), bool) if self.whole else pc.match_substring_regex(texts, DOUBTFUL_BLANK).to_numpy(zero_copy_only=False)
+        odd |= pc.greater(pc.binary_length(texts), SEGMENT).to_numpy(zero_copy_only=False)
+        apart = np.flatnonzero(odd)
+        plain = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts) if len(apart) else texts
+        index, distinct, begins = words_of(plain)
+        self.words.start()
+        firsts, first = np.unique(index[begins[:-1]], return_inverse=True)
+        at = self.words(distinct)[index]
+        at[begins[:-1]] = self.words([" " + distinct[i] for i in firsts.tolist()])[first]
+        sizes, own = self.sizes[at], self.begins[at]
+        source = self.ids
+        if end_id is not None:
+            sizes, own = np.insert(sizes, begins[1:], 1), np.insert(own, begins[1:], len(source))
+            source, begins = np.append(source, np.uint32(end_id)), begins + np.arange(len(begins))
+        ids = gathered(source, own, sizes)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])[begins]
+        if not len(apart):
+            return ids, offsets
+        parts = np.split(ids, offsets[1:-1])
+        for i in apart.tolist():
+            parts[i] = np.concatenate([np.frombuffer(self._whole(texts[i].as_py()), np.uint32), parts[i]])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _whole(self, text: str) -> bytes:
+        """Of a very long text, or one with doubtful blanks: the library gets a segment at a time."""
+        return b"".join(b"".join(self._by_library([x])) for x in ([text] if self.whole else segments(text, boundary=BLANK_OR_STOP)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [[*segments(x)] for x in texts]
-        flat = [p for x in parts for p in x]
-        odd = [i for i, p in enumerate(flat) if ODD_SPACE.search(p)]
-        done: list = self.pieces(["" if ODD_SPACE.search(p) else p for p in flat] if odd else flat)
-        for i, ids in zip(odd, self._by_library([flat[i] for i in odd]) if odd else [], strict=True):
-            done[i] = ids
-        each = iter(done)
-        return [b"".join(next(each) for _ in x) for x in parts]
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        ids, offsets = self.flat(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 class LengthCounter:
@@ -124,16 +246,27 @@ class LengthCounter:
 
     The model writes a blank as a mark that only begins a piece, so a text can be
     cut before a blank that follows another character.  A line feed has no piece of
-    its own and is written as a byte, so nothing is joined across it.
+    its own and is written as a byte, so nothing is joined across it.  There is no other
+    safe boundary: any two other neighbours may be joined, so a run without blanks and line
+    feeds goes to the library whole.
     """
 
+    #: For Arrow: blanks whose marks run together, or that hold the mark itself.
+    DOUBTFUL = r"^ |  |▁"
+    #: Changed by the usual normalisers; a model that changes any of these gets texts whole.
+    PROBE = "a\tb\r\x0b\x1c\x85\xa0c ①ﬁ\u200b\u2028\u3000x e\u0301 İ\ufeff z"
+
     def __init__(self, path: str):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         mark = "▁"
         inner = any(mark in p.lstrip(mark) or "\n" in p for p in map(self.library.id_to_piece, range(self.library.get_piece_size())))
-        self.pieces = PieceEncoder(WORDS, self._after_line_feed, sum) if not inner and self._lengths(["\n"]) == [2] else None
+        as_it_is = self.library.normalize(self.PROBE) == mark + self.PROBE.replace(" ", mark)
+        self.whole = inner or not as_it_is or self._lengths(["\n"]) != [2]
+        self.pieces = PieceEncoder(WORDS, self._after_line_feed, sum)
+        self.sizes = np.empty(0, np.int64)
+        self.words = WordTable(self._add, self._keep)
 
     def _lengths(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.library.encode(texts, num_threads=1)] if texts else []
@@ -141,14 +274,32 @@ class LengthCounter:
     def _after_line_feed(self, pieces: list[str]) -> list[int]:
         return [n - 2 for n in self._lengths(["\n" + x for x in pieces])]
 
+    def _add(self, words: list[str]) -> None:
+        self.sizes = np.concatenate([self.sizes, np.array(self.pieces([" " + w for w in words]), np.int64)])
+
+    def _keep(self, slots: np.ndarray) -> None:
+        self.sizes = self.sizes[slots]
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; none of an empty one."""
+        texts = texts.fill_null("")
+        odd = np.ones(len(texts), bool) if self.whole else pc.match_substring_regex(texts, self.DOUBTFUL).to_numpy(zero_copy_only=False)
+        if not self.whole:
+            odd |= pc.greater(pc.binary_length(texts), SEGMENT).to_numpy(zero_copy_only=False)
+        apart = np.flatnonzero(odd)
+        plain = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts) if len(apart) else texts
+        index, distinct, begins = words_of(plain)
+        self.words.start()
+        slots = self.words(distinct)
+        out = np.add.reduceat(self.sizes[slots][index], begins[:-1]) if len(texts) else np.empty(0, np.int64)
+        out[pc.equal(plain, "").to_numpy(zero_copy_only=False)] = 0
+        for i in apart.tolist():
+            text = texts[i].as_py()
+            out[i] = self._lengths([text])[0] if self.whole else sum(n for x in segments(" " + text) for n in self._after_line_feed([x]))
+        return out
+
     def __call__(self, texts: list[str]) -> list[int]:
-        whole = [i for i, x in enumerate(texts) if self.pieces is None or "▁" in x or ODD_SPACE.search(x)]
-        parts = [[] if i in set(whole) else [*segments(" " + x)] if x else [] for i, x in enumerate(texts)] if whole else [[*segments(" " + x)] if x else [] for x in texts]
-        each = iter(self.pieces([p for x in parts for p in x]) if self.pieces else [])
-        done = [sum(next(each) for _ in x) for x in parts]
-        for i, n in zip(whole, self._lengths([texts[i] for i in whole]), strict=True):
-            done[i] = n
-        return done
+        return self.counts(pa.array(texts, pa.string())).tolist()
 
 
 class BackendCounter:
@@ -157,8 +308,8 @@ class BackendCounter:
     def __init__(self, path: str):
         self.ids = IdEncoder(path, "<u4")
 
-    def __call__(self, texts: list[str]) -> list[int]:
-        return [len(x) // 4 for x in self.ids(texts)]
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        return np.diff(self.ids.flat(texts)[1])
 
 
 def loaded(kind: type, *args):

@@ -155,8 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, limits: Limits = L
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding.loaded(encoding.IdEncoder, tokenizer, "<u4")
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        encoder = encoding.loaded(encoding.IdEncoder, tokenizer, "<u4")
         base, n_sequences, n_docs = TaskContext.get().partitionId() << 40, 0, 0
         packer, held, rows = Packer(limits), {}, []
 
@@ -182,11 +181,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None, limits: Limits = L
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         kinds = [pa.int64()] * 7
         for batch in batches:
-            for part in byte_slices(batch, "text"):
-                loss = part.column("loss_from").to_pylist()
-                for name, text_ids, loss_from in zip(part.column("id").to_pylist(), encode(part.column("text").to_pylist()), loss, strict=True):
-                    ids = text_ids + end
-                    if ids:
+            for part in byte_slices(batch, "text", encoding.BATCH):
+                flat, offsets = encoder.flat(part.column("text"), end_id)
+                at = offsets.tolist()
+                for name, a, b, loss_from in zip(part.column("id").to_pylist(), at[:-1], at[1:], part.column("loss_from").to_pylist(), strict=True):
+                    if a < b:
+                        ids = flat[a:b].astype("<u4").tobytes()
                         held[n_docs] = (name, ids, len(ids) // 4)
                         emit(packer.add(Example(n_docs, 0, len(ids) // 4, loss_from)))
                         n_docs += 1

@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +101,7 @@ class Model:
 
     ``words``: WORD_VALUES by ``word_key``; ``unknown``: those of all other words;
     ``bigrams``: discounted counts (class 0, class 1, both) by id before x ``n`` + id;
-    ``fit``: intercept and slope of the score.
+    ``fit``: intercept and slope of the score; ``prior``: the score of a text without words.
     """
 
     words: Lookup
@@ -109,6 +109,7 @@ class Model:
     bigrams: Lookup
     n: int
     fit: tuple[float, float] = (0.0, 0.0)
+    prior: float = 0.5
 
 
 class Scorer:
@@ -136,14 +137,16 @@ class Scorer:
         return out, counts
 
     def statistic(self, texts: list[str | None]) -> np.ndarray:
-        """Toxic minus ordinary log-likelihood per word; 0 for a text without words."""
+        """Toxic minus ordinary log-likelihood per word; not a number for a text without words."""
         p, counts = self.probabilities(texts)
         text = np.repeat(np.arange(len(texts)), counts)
-        return np.bincount(text, np.log(p[1]) - np.log(p[0]), len(texts)) / np.maximum(counts, 1)
+        total = np.bincount(text, np.log(p[1]) - np.log(p[0]), len(texts))
+        return np.divide(total, counts, out=np.full(len(texts), np.nan), where=counts > 0)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         a, b = self.model.fit
-        return 1 / (1 + np.exp(-np.clip(a + b * self.statistic(texts), -700, 700)))
+        x = self.statistic(texts)
+        return np.where(np.isnan(x), self.model.prior, 1 / (1 + np.exp(-np.clip(a + b * x, -700, 700))))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -272,10 +275,10 @@ def train(labelled: DataFrame) -> Model | None:
     for table in (words, pairs):
         discard(table)
     drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit("fit")), step) == 0)
-    found = drawn.select("toxic", scorer(drawn, fitted, "statistic")(F.col("text")).alias("x")).toArrow()
+    found = drawn.select("toxic", scorer(drawn, fitted, "statistic")(F.col("text")).alias("x")).filter(~F.isnan("x")).toArrow()
     toxic = found["toxic"].to_numpy().astype(float)
     fit = calibrated(found["x"].to_numpy(), toxic, np.where(toxic == 0, *steps))
-    return Model(final.words, final.unknown, final.bigrams, n, fit)
+    return replace(final, fit=fit, prior=(sizes[1] + sizes[3] + 1) / (sum(sizes) + 2))
 
 
 def _model(words: DataFrame, pairs: DataFrame, n: int, n_parts: int, counts: tuple[str, str]) -> Model:
@@ -368,8 +371,8 @@ def toxicity(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, id_col:
 
     The model learns from ``train_docs`` joined with ``labels`` by id.  ``score`` is in
     0 to 1, ``predicted`` 1 if it is at least ``threshold``.  Very long texts are scored
-    whole.  Null and empty texts get the score of a statistic of 0.  Without labels of
-    both classes every text gets the smoothed share of toxic labels.  Null ids and
+    whole.  Texts without words, null and empty ones too, get the smoothed share of toxic
+    labels; without labels of both classes every text does.  Null ids and
     repeated rows are scored like others; an empty table gives an empty result.
 
     No shuffle of ``docs``; a worker searches the model's tables in the shared folder

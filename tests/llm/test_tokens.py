@@ -1,8 +1,10 @@
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -23,14 +25,53 @@ def random_texts():
 @pytest.mark.parametrize("segment", [16, 1 << 18])
 def test_ids_are_the_librarys(path, segment, random_texts, monkeypatch):
     cut = encoding.segments
-    monkeypatch.setattr(encoding, "segments", lambda x: cut(x, segment))
+    monkeypatch.setattr(encoding, "segments", lambda x, **more: cut(x, segment, **more))
+    monkeypatch.setattr(encoding, "SEGMENT", segment)
     got = [np.frombuffer(x, "<u4").tolist() for x in encoding.IdEncoder(path)(random_texts)]
     assert got == [x.ids for x in Tokenizer.from_file(path).encode_batch(random_texts, add_special_tokens=False)]
 
 
-def test_lengths_are_the_librarys(random_texts):
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_flat_ids(path, random_texts):
+    encoder, texts = encoding.IdEncoder(path), random_texts[:500]
+    want = [[*x.ids, 7] for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for some, ids in ((texts, want), ([], []), ([None, ""], [[7], [7]]), (["a", None], [[*encoder.library.encode("a").ids, 7], [7]])):
+        got, offsets = encoder.flat(pa.array(some, pa.string()), 7)
+        assert [got[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == ids
+        if some:
+            sliced, cuts = encoder.flat(pa.array(["x y", *some], pa.string()).slice(1), 7)
+            assert sliced.tolist() == got.tolist() and cuts.tolist() == offsets.tolist()
+
+
+def test_lengths_are_the_librarys(random_texts, monkeypatch):
     want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=PIECE).encode(random_texts)]
-    assert encoding.LengthCounter(PIECE)(random_texts) == want
+    counter = encoding.LengthCounter(PIECE)
+    assert counter(random_texts) == want and not counter.whole
+    assert counter([]) == [] and counter.counts(pa.array([None, "a"], pa.string())).tolist() == [0, 2 - 1]
+    cut = encoding.segments
+    monkeypatch.setattr(encoding, "segments", lambda x, **more: cut(x, 16, **more))
+    monkeypatch.setattr(encoding, "SEGMENT", 16)
+    assert counter(random_texts) == want
+
+
+def test_memory_is_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(encoding, "REMEMBERED_CHARACTERS", 2000)
+    encoder = encoding.IdEncoder(BYTE)
+    want = encoder.library.encode("ab" * 400 + " c").ids
+    for _ in range(9):
+        assert np.frombuffer(encoder(["ab" * 400 + " c"])[0], "<u4").tolist() == want
+        encoder([f"{i} " + "x" * 300 for i in range(20)])
+    assert encoder.words.characters < 2 * 7000 and len(encoder.words.slots) < 50
+
+
+def test_tabs_are_no_slower():
+    counter = encoding.LengthCounter(PIECE)
+    begin = time.process_time()
+    assert len(set(counter([f"one two\tthree {i % 10}" for i in range(10_000)]))) < 4
+    assert time.process_time() - begin < 1.5
+    long = "word\tother thing " * 100_000
+    small = len(counter.library.encode("word\tother thing " * 100))
+    assert counter([long])[0] == (small - 1) * 1000 + 1
 
 
 def test_forgotten_pieces_come_back():

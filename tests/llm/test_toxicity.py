@@ -96,14 +96,15 @@ def test_distributions_sum_to_one(trained):
     for context in ("w1", "vile", "foul", "unheardof"):
         p, counts = scorer.probabilities([f"{context} {w}" for w in words])
         assert p[:, 1::2].sum(1) == pytest.approx([1, 1], rel=1e-9)
-    assert scorer.statistic(["", None, "..."]).tolist() == [0, 0, 0]
+    assert np.isnan(scorer.statistic(["", None, "..."])).all()
+    assert scorer.score(["", None, "..."]) == pytest.approx([81 / 402] * 3)
 
 
 def test_statistic_is_the_mean_log_ratio(trained):
     scorer, _ = trained
     p, _ = scorer.probabilities(["w1 vile foul", "w3 w4"])
     ratio = np.log(p[1] / p[0])
-    assert scorer.statistic(["w1 vile foul", None, "w3 w4"]) == pytest.approx([ratio[:3].mean(), 0, ratio[3:].mean()])
+    assert scorer.statistic(["w1 vile foul", None, "w3 w4"]) == pytest.approx([ratio[:3].mean(), np.nan, ratio[3:].mean()], nan_ok=True)
 
 
 def test_logistic_function():
