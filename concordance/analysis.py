@@ -10,26 +10,38 @@ from pyspark.sql import functions as F
 
 from .policy import canonical_json, require
 
-#: Keyed counters that are discrepancies: kind, classification.
+#: Counters that are discrepancies, by mode: kind, classification.
 KEYED = {"baseline_only": ("key", "baseline_only"), "candidate_only": ("key", "candidate_only")}
+COUNTED = {
+    "keyed": KEYED,
+    "aggregate": {"baseline_only": ("group", "baseline_only"), "candidate_only": ("group", "candidate_only")},
+    "multiset": {"baseline_surplus_shapes": ("row", "baseline_surplus"), "candidate_surplus_shapes": ("row", "candidate_surplus")},
+}
+#: What is counted by name, by mode.
+NAMED = {"keyed": "field", "aggregate": "measure", "multiset": "column"}
 
 
 def group_id(kind: str, classification: str, name: str) -> str:
     return hashlib.sha256(canonical_json([kind, classification, name]).encode()).hexdigest()
 
 
-def groups(counters: dict, fields: Sequence[dict]) -> list[dict]:
-    """(kind, classification, name, count, group_id) of a keyed result; empty groups are left out."""
-    out = [(*KEYED[x], "", counters[x]) for x in KEYED]
-    out += [("field", c, f["field"], f[c]) for f in fields for c in ("within_tolerance", "different")]
+def groups(counters: dict, fields: Sequence[dict], mode: str = "keyed") -> list[dict]:
+    """(kind, classification, name, count, group_id) of a result; empty groups are left out.
+
+    ``fields``: the fields' counts (keyed) or the measures' (aggregate).
+    """
+    out = [(*kind, "", counters[x]) for x, kind in COUNTED[mode].items()]
+    out += [(NAMED[mode], c, f[NAMED[mode]], f[c]) for f in fields for c in ("within_tolerance", "different")]
     return [{"kind": k, "classification": c, "name": n, "count": v, "group_id": group_id(k, c, n)} for k, c, n, v in out if v]
 
 
-def group_frame(counters: DataFrame, fields: DataFrame) -> DataFrame:
+def group_frame(counters: DataFrame, fields: DataFrame | None = None, mode: str = "keyed") -> DataFrame:
     """The same as a frame of (kind, classification, name, count)."""
-    keys = counters.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(c).alias("classification"), F.lit("").alias("name"), F.col(x).alias("count")) for x, (k, c) in KEYED.items()))))
-    each = fields.select(F.inline(F.array(*(F.struct(F.lit("field").alias("kind"), F.lit(c).alias("classification"), F.col("field").alias("name"), F.col(c).alias("count")) for c in ("within_tolerance", "different")))))
-    return keys.unionByName(each).filter("count > 0")
+    out = counters.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(c).alias("classification"), F.lit("").alias("name"), F.col(x).alias("count")) for x, (k, c) in COUNTED[mode].items()))))
+    if fields is not None:
+        named = NAMED[mode]
+        out = out.unionByName(fields.select(F.inline(F.array(*(F.struct(F.lit(named).alias("kind"), F.lit(c).alias("classification"), F.col(named).alias("name"), F.col(c).alias("count")) for c in ("within_tolerance", "different"))))))
+    return out.filter("count > 0")
 
 
 def transition(before: Column, now: Column) -> Column:

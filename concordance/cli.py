@@ -8,15 +8,18 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import fields, replace
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, evolution, manifests, profile, suites
+from . import analysis, evidence, evolution, manifests, profile, ranges, reconcile, suites
 from .catalog import Catalog
 from .compare import EXIT_CODES, Limits, compare
-from .policy import PolicyError, explain, load_recipe, require
-from .sources import read_source
+from .parity import keyed
+from .policy import PolicyError, Recipe, explain, load_recipe, require
+from .scalars import parsed
+from .sources import check_sizes, read_source
 
 
 def session() -> SparkSession:
@@ -27,32 +30,129 @@ def show(value: object) -> None:
     print(json.dumps(evidence.plain(value), indent=2, ensure_ascii=False))
 
 
+def limits_of(a: argparse.Namespace) -> Limits:
+    given = {f.name: getattr(a, f.name, None) for f in fields(Limits)}
+    return replace(Limits(), **{k: v for k, v in given.items() if v is not None})
+
+
+def read_json(path: str) -> dict:
+    return json.loads(Path(path).read_text(encoding="utf-8"))
+
+
 def run_compare(a: argparse.Namespace) -> str:
     recipe = load_recipe(a.recipe)
-    limits = Limits(sample=a.sample_limit, max_rows=a.max_rows)
-    result = compare(session(), recipe, a.baseline, a.candidate, limits, a.expected_policy_sha256)
+    try:
+        result = compare(session(), recipe, a.baseline, a.candidate, limits_of(a), a.expected_policy_sha256)
+    except (PolicyError, KeyboardInterrupt) as e:
+        outcome = "ERROR" if isinstance(e, PolicyError) else "INTERRUPTED"
+        if not Path(a.output).exists():
+            evidence.publish_terminal(a.output, outcome, str(e))
+        raise
     evidence.publish(a.output, result, recipe)
     show({k: result[k] for k in ("outcome", "counts", "problems")})
     return result["outcome"]
 
 
 def run_suite(a: argparse.Namespace) -> str:
-    plan, base = suites.read_plan(json.loads(Path(a.plan).read_text())), Path(a.plan).parent
+    plan, base = suites.read_plan(read_json(a.plan)), Path(a.plan).resolve().parent
     chosen = suites.select(plan, a.case, a.tag, (a.shard_index, a.shard_count))
-    spark, out = session(), Path(a.output)
+    spark, work = session(), suites.Workspace(a.output, plan, base)
+    result = suites.run(spark, chosen, lambda case: suites.run_case(spark, case, work), a.jobs)
+    work.folder.mkdir(parents=True, exist_ok=True)
+    (work.folder / "suite.json").write_text(evidence.text(result), encoding="utf-8")
+    show(result)
+    return result["outcome"]
 
-    def one(case: suites.Case) -> dict:
-        recipe = load_recipe(base / case.recipe)
-        result = compare(spark, recipe, str(base / case.baseline), str(base / case.candidate))
-        evidence.publish(out / case.id, result, recipe)
-        return {"outcome": result["outcome"], "discrepancies": result["discrepancies"]}
 
-    result = suites.run(spark, chosen, one, a.jobs)
-    (out / "suite.json").write_text(evidence.text(result))
+def assemble_suite(a: argparse.Namespace) -> str:
+    result = suites.assemble(suites.read_plan(read_json(a.plan)), [read_json(f"{x}/suite.json") for x in a.shards])
     show(result)
     return result["outcome"]
 
 
+def classified(a: argparse.Namespace, recipe: Recipe) -> DataFrame:
+    spark = session()
+    check_sizes([a.baseline, a.candidate], limits_of(a).max_input_bytes, limits_of(a).max_decoded_bytes)
+    return keyed.classified(*(parsed(read_source(spark, x, recipe, i), recipe, i) for i, x in enumerate((a.baseline, a.candidate))), recipe)
+
+
+def discover(a: argparse.Namespace) -> str:
+    recipe, plan = load_recipe(a.recipe), ranges.RangePlan.of(read_json(a.plan))
+    found = [r.asDict() for r in ranges.discover(classified(a, recipe), recipe, plan).orderBy("part").collect()]
+    receipt = ranges.receipt(found, plan, recipe)
+    show(receipt)
+    return receipt["outcome"]
+
+
+def investigate(a: argparse.Namespace) -> str:
+    recipe, plan = load_recipe(a.recipe), ranges.RangePlan.of(read_json(a.plan))
+    rows = classified(a, recipe)
+    parts = a.part or [r["part"] for r in ranges.suspects(ranges.discover(rows, recipe, plan)).collect()]
+    cases = [r.asDict() for r in ranges.investigate(rows, recipe, plan, parts, a.per_part, a.total).collect()]
+    show(ranges.completeness(cases, parts, a.max_bytes))
+    return "FAIL" if cases else "PASS"
+
+
+def run_reconcile(a: argparse.Namespace) -> str:
+    """The inputs file names, by dataset, recipe, baseline and candidate, relative to itself."""
+    base, spark = Path(a.inputs).resolve().parent, session()
+    inputs = {}
+    for k, v in read_json(a.inputs).items():
+        recipe = load_recipe(base / v["recipe"])
+        inputs[k] = (recipe, *(read_source(spark, suites.beside(base, v[s]), recipe, i) for i, s in enumerate(("baseline", "candidate"))))
+    result = reconcile.reconcile(read_json(a.alignment), read_json(a.reconciliation), Path(a.receipt).read_bytes(), inputs, limits_of(a))
+    evidence.publish(a.output, result | {"counts": reconcile.diagnosis(result), "discrepancies": sum(reconcile.diagnosis(result).values())})
+    show({"outcome": result["outcome"], "diagnosis": reconcile.diagnosis(result)})
+    return result["outcome"]
+
+
+def series(a: argparse.Namespace) -> str:
+    """Discrepancy groups of bundles over runs, in the order given; one policy and mode."""
+    results, spark = [evidence.verify(x) for x in a.bundles], session()
+    require(len({r["policy"]["policy_sha256"] for r in results}) == 1, "a series is of runs under one policy")
+    runs = [spark.createDataFrame([(g["kind"], g["classification"], g["name"], g["count"]) for g in r["groups"]], "kind string, classification string, name string, count long") for r in results]
+    show([r.asDict() for r in analysis.series(runs).orderBy("kind", "classification", "name", "run").collect()])
+    return results[-1]["outcome"]
+
+
+def drill_down(a: argparse.Namespace) -> str:
+    result = evidence.verify(a.bundle)
+    chosen = [g for g in result["groups"] if g["group_id"] == a.group]
+    require(len(chosen) == 1, "the bundle has no such group")
+    g = chosen[0]
+    rows = [r for r in result["sample"] if g["classification"] in (r.get("classification"), r.get("kind")) and g["name"] in ("", r.get("field"), r.get("measure"))]
+    show({"group": g, "rows": rows[: a.limit], "complete": len(rows[: a.limit]) == g["count"]})
+    return "PASS"
+
+
+def diff_policy(a: argparse.Namespace) -> str:
+    changes = evolution.read_evolution(read_json(a.evolution)) if a.evolution else []
+    found = evolution.policy_diff(load_recipe(a.before), load_recipe(a.after), changes)
+    show(found)
+    return {"ACCEPT": "PASS", "DENY": "FAIL", "INCONCLUSIVE": "INCONCLUSIVE"}[found["decision"]]
+
+
+def initialise(a: argparse.Namespace) -> str:
+    """Starter files: two small inputs, a recipe and a plan that compares them."""
+    folder = Path(a.folder)
+    require(not folder.exists(), f"{folder} exists already")
+    folder.mkdir(parents=True)
+    for side, amount in (("baseline", "2.00"), ("candidate", "2.01")):
+        (folder / f"{side}.csv").write_text(f"id,amount\n1,1.00\n2,{amount}\n", encoding="utf-8")
+    scope = {"snapshot": "example", "cutoff": "example", "filters": [], "completeness": "full", "expected_empty": False}
+    starter = {"recipe_version": 1, "comparison_mode": "keyed", "scope": scope, "keys": ["id"], "identity": {"null_keys": "reject", "duplicates": "reject"}, "nulls_equal": True, "columns": {"id": {"type": "integer"}, "amount": {"type": "decimal", "scale": 2}}}
+    plan = {"suite_version": 2, "cases": [{"id": "example", "recipe": "recipe.json", "baseline": "baseline.csv", "candidate": "candidate.csv"}]}
+    for name, value in (("recipe.json", starter), ("suite.json", plan)):
+        (folder / name).write_text(json.dumps(value, indent=2) + "\n", encoding="utf-8")
+    return "PASS"
+
+
+def written(a: argparse.Namespace, text: str) -> str:
+    with open(a.output, "x", encoding="utf-8") as f:
+        f.write(text)
+    return "PASS"
+
+
 def validate(a: argparse.Namespace) -> str:
     recipe, spark, bad = load_recipe(a.recipe), session(), 0
     for i, locator in enumerate((a.baseline, a.candidate)):
@@ -95,16 +195,45 @@ def parser() -> argparse.ArgumentParser:
         p.set_defaults(run=run)
         return p
 
+    def limited(p: argparse.ArgumentParser) -> None:
+        for f in fields(Limits):
+            if f.name.startswith("max_"):
+                p.add_argument("--" + f.name.replace("_", "-"), type=int)
+
     p = command("compare", run_compare, "recipe", "baseline", "candidate", "output")
     p.add_argument("--expected-policy-sha256")
-    p.add_argument("--sample-limit", type=int, default=Limits.sample)
-    p.add_argument("--max-rows", type=int, default=Limits.max_rows)
+    p.add_argument("--sample-limit", dest="sample", type=int)
+    limited(p)
     p = command("run-suite", run_suite, "plan", "output")
     p.add_argument("--case", action="append", default=[])
     p.add_argument("--tag", action="append", default=[])
     p.add_argument("--shard-index", type=int, default=0)
     p.add_argument("--shard-count", type=int, default=1)
     p.add_argument("--jobs", type=int, default=1)
+    p = command("assemble-suite", assemble_suite, "plan")
+    p.add_argument("shards", nargs="+")
+    command("compare-suites", lambda a: shown(suites.compare(*(read_json(f"{x}/suite.json") for x in (a.before, a.after)))), "before", "after")
+    limited(command("discover", discover, "recipe", "plan", "baseline", "candidate"))
+    p = command("investigate", investigate, "recipe", "plan", "baseline", "candidate")
+    limited(p)
+    p.add_argument("--part", action="append", type=int, default=[])
+    for name, default in (("per-part", 100), ("total", 1000), ("max-bytes", 1_000_000)):
+        p.add_argument(f"--{name}", type=int, default=default)
+    command("verify-discovery", lambda a: ranges.verify_receipt(read_json(a.receipt), ranges.RangePlan.of(read_json(a.plan)))["outcome"], "receipt", "plan")
+    limited(command("reconcile", run_reconcile, "alignment", "reconciliation", "receipt", "inputs", "output"))
+    command("analyze", lambda a: shown(evidence.verify(a.bundle)["groups"]), "bundle")
+    command("series", series).add_argument("bundles", nargs="+")
+    p = command("drill-down", drill_down, "bundle", "group")
+    p.add_argument("--limit", type=int, default=100)
+    p = command("diff-policy", diff_policy, "before", "after")
+    p.add_argument("--evolution")
+    p = command("export", lambda a: shown({"rows": evidence.export(a.bundle, a.output, a.classification, a.kind, a.limit)}), "bundle", "output")
+    p.add_argument("--classification")
+    p.add_argument("--kind")
+    p.add_argument("--limit", type=int, default=100)
+    p = command("ci-report", lambda a: written(a, evidence.ci_report(evidence.verify(a.bundle), a.form)), "bundle", "output")
+    p.add_argument("--form", choices=("markdown", "junit"), default="markdown")
+    command("init", initialise, "folder")
     command("validate-recipe", lambda a: shown({"policy_sha256": load_recipe(a.recipe).fingerprint}), "recipe")
     command("explain", lambda a: shown(explain(load_recipe(a.recipe))), "recipe")
     command("validate-inputs", validate, "recipe", "baseline", "candidate")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import analysis
 from .parity import aggregate, keyed, multiset
@@ -23,6 +25,9 @@ class Limits:
     max_groups: int = 100_000
     max_distinct_rows: int = 100_000
     sample: int = 100
+    max_identity_keys: int = 100_000_000
+    max_conservation_groups: int = 100_000_000
+    max_temp_bytes: int | None = None  # Spark spills by itself; recorded only
 
 
 def decide(problems: list[str], differs: bool) -> str:
@@ -31,13 +36,18 @@ def decide(problems: list[str], differs: bool) -> str:
 
 def compare_frames(recipe: Recipe, baseline: DataFrame, candidate: DataFrame, limits: Limits = Limits()) -> dict:
     """The result of comparing two frames: counts, discrepancy groups, problems, outcome."""
-    sides = [parsed(df, recipe, i).persist() for i, df in enumerate((baseline, candidate))]
+    sides = [parsed(df, recipe, i).persist(StorageLevel.DISK_ONLY) for i, df in enumerate((baseline, candidate))]
     try:
-        body = {"keyed": _keyed, "aggregate": _aggregate, "multiset": _multiset}[recipe.mode](recipe, *sides, limits)
+        return compare_parsed(recipe, *sides, limits)
     finally:
         for s in sides:
             s.unpersist()
-    return {"mode": recipe.mode, "policy": explain(recipe), **body}
+
+
+def compare_parsed(recipe: Recipe, left: DataFrame, right: DataFrame, limits: Limits = Limits()) -> dict:
+    """The same of sides that are parsed already, which the caller may keep."""
+    body = {"keyed": _keyed, "aggregate": _aggregate, "multiset": _multiset}[recipe.mode](recipe, left, right, limits)
+    return {"mode": recipe.mode, "policy": explain(recipe), "resource_limits": {k: v for k, v in asdict(limits).items() if v is not None}, **body}
 
 
 def _rows_ok(counts: dict, limits: Limits) -> None:
@@ -70,19 +80,25 @@ def _keyed(recipe: Recipe, left: DataFrame, right: DataFrame, limits: Limits) ->
 
 
 def _aggregate(recipe: Recipe, left: DataFrame, right: DataFrame, limits: Limits) -> dict:
-    counts = {s: df.count() for s, df in (("baseline", left), ("candidate", right))}
+    sided = [aggregate.input_rows(df, recipe).withColumn("side", F.lit(s)) for s, df in (("baseline", left), ("candidate", right))]
+    seen = {r["side"]: r for r in sided[0].unionByName(sided[1]).collect()}
+    counts = {s: seen[s]["rows"] for s in ("baseline", "candidate")}
     _rows_ok(counts, limits)
-    nulls = {s: aggregate.null_group_rows(df, recipe).first()[0] for s, df in (("baseline", left), ("candidate", right))}
-    rows = aggregate.classified(left, right, recipe)
-    counts |= aggregate.counters(rows, recipe).first().asDict()
-    require(max(counts["baseline_groups"], counts["candidate_groups"]) <= limits.max_groups, "there are more than max_groups groups")
-    measures = [r.asDict() for r in aggregate.measure_counts(rows, recipe).collect()]
-    rejecting = {m.name for m in recipe.measures if m.reject_nulls and m.operator != "count"}
-    problems = [f"{s} has null groups" for s, n in nulls.items() if n] + _empty(recipe, counts)
-    problems += [f"{s} has nulls in {m['measure']}" for m in measures for s in ("baseline", "candidate") if m["measure"] in rejecting and m[f"{s}_ignored"]]
+    nulls = {s: seen[s]["null_group_rows"] for s in ("baseline", "candidate")}
+    rows = aggregate.classified(left, right, recipe).persist(StorageLevel.DISK_ONLY)
+    try:
+        found, measures = aggregate.summary(rows, recipe)
+        counts |= found
+        require(max(counts["baseline_groups"], counts["candidate_groups"]) <= limits.max_groups, "there are more than max_groups groups")
+        rejecting = {m.name for m in recipe.measures if m.reject_nulls and m.operator != "count"}
+        problems = [f"{s} has null groups" for s, n in nulls.items() if n] + _empty(recipe, counts)
+        problems += [f"{s} has nulls in {m['measure']}" for m in measures for s in ("baseline", "candidate") if m["measure"] in rejecting and m[f"{s}_ignored"]]
+        sample = [r.asDict() for r in aggregate.sample(rows, recipe, limits.sample, with_measures=not problems).collect()] if recipe.raw else []
+    finally:
+        rows.unpersist()
     differs = bool(counts["baseline_only"] or counts["candidate_only"] or any(m["different"] for m in measures))
-    total = counts["baseline_only"] + counts["candidate_only"] + sum(m["different"] + m["within_tolerance"] for m in measures)
-    return {"counts": counts, "measures": measures, "problems": problems, "discrepancies": total, "outcome": decide(problems, differs)}
+    groups = analysis.groups(counts, measures, "aggregate")
+    return {"counts": counts, "measures": measures, "groups": groups, "problems": problems, "sample": sample, "discrepancies": sum(g["count"] for g in groups), "outcome": decide(problems, differs)}
 
 
 def _multiset(recipe: Recipe, left: DataFrame, right: DataFrame, limits: Limits) -> dict:
@@ -92,9 +108,10 @@ def _multiset(recipe: Recipe, left: DataFrame, right: DataFrame, limits: Limits)
     _rows_ok({"baseline": counts["baseline_rows"], "candidate": counts["candidate_rows"]}, limits)
     require(max(counts["baseline_distinct"], counts["candidate_distinct"]) <= limits.max_distinct_rows, "there are more than max_distinct_rows row shapes")
     problems = _empty(recipe, {"baseline": counts["baseline_rows"], "candidate": counts["candidate_rows"]}, both=True)
-    total = counts["baseline_surplus_shapes"] + counts["candidate_surplus_shapes"]
+    groups = analysis.groups(counts, [], "multiset")
+    total = sum(g["count"] for g in groups)
     sample = [r.asDict() for r in multiset.sample(shapes, columns, limits.sample).collect()] if recipe.raw else []
-    return {"counts": counts, "problems": problems, "sample": sample, "discrepancies": total, "outcome": decide(problems, bool(total))}
+    return {"counts": counts, "groups": groups, "problems": problems, "sample": sample, "discrepancies": total, "outcome": decide(problems, bool(total))}
 
 
 def compare(spark: SparkSession, recipe: Recipe, baseline: str, candidate: str, limits: Limits = Limits(), expected_policy_sha256: str | None = None) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +15,8 @@ from .scalars import DATE, INTEGER, TIMESTAMP, parsed
 
 #: Types to try, the narrowest first, with the form of their text.
 SUGGESTED = (("boolean", r"^(true|false)$"), ("integer", INTEGER), ("decimal", r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), ("timestamp", TIMESTAMP), ("date", DATE))
-#: Rows that a draft's key search counts exactly for candidates of that many columns at most.
-MOST_KEY_COLUMNS = 4
+#: Words that the names of keys have.
+KEY_WORDS = {"id", "key", "code"}
 
 
 def preflight(df: DataFrame, recipe: Recipe, side: int) -> DataFrame:
@@ -60,23 +62,43 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return groups.groupBy("column").agg(F.sum("n").alias("rows"), F.count("value").alias("distinct_values"), F.coalesce(null, F.lit(0)).alias("nulls"))
 
 
-def suggested_key(df: DataFrame, columns: list[str]) -> list[str]:
-    """Columns that identify rows, chosen greedily: sketches rank them, exact counts decide.
+def named_like_a_key(column: str) -> bool:
+    """Whether a word of the name, between blanks and underscores, says so."""
+    return not KEY_WORDS.isdisjoint(re.split(r"[\s_]+", column.lower()))
 
-    Names with id, key or code come first among equals; an empty list if no set of at
-    most MOST_KEY_COLUMNS columns is unique.
+
+def suggested_key(df: DataFrame, columns: list[str], other: DataFrame | None = None) -> list[str]:
+    """Columns that identify the rows of ``df``, and of ``other`` if given, chosen greedily.
+
+    Each step adds the column with which the key has most distinct values, on the side
+    that has fewer; columns named like keys are used up before any other, columns with
+    nulls or empty texts never.  Sketches rank a step's columns and exact counts decide among
+    those within five per cent of the best, so a step is two aggregations a side.  An
+    empty list if all columns together aren't unique, or a side has no rows.
     """
-    rows = df.count()
-    if not rows:
+    sides = [x for x in (df, other) if x is not None]
+    absent = lambda c: F.count_if(F.col(f"`{c}`").isNull() | (F.col(f"`{c}`").cast("string") == "")).alias(c)
+    looked = [x.agg(F.count(F.lit(1)).alias("__rows"), *map(absent, columns)).first() for x in sides]
+    rows = [x["__rows"] for x in looked]
+    if not all(rows):
         return []
-    ranks = df.agg(*(F.approx_count_distinct(f"`{c}`").alias(c) for c in columns)).first()
-    named = lambda c: not any(x in c.lower() for x in ("id", "key", "code"))
-    order = sorted(columns, key=lambda c: (-min(ranks[c], int(rows * 0.9)), named(c), columns.index(c)))
+    whole = [c for c in columns if not any(x[c] for x in looked)]
+
+    def least(counted: Callable[[Column], Column], chosen: list[str], of: list[str]) -> dict[str, list[int]]:
+        found = [x.agg(*(counted(F.struct(*(F.col(f"`{y}`") for y in (*chosen, c)))).alias(c) for c in of)).first() for x in sides]
+        return {c: [x[c] for x in found] for c in of}
+
     chosen: list[str] = []
-    for c in order[:MOST_KEY_COLUMNS]:
-        chosen.append(c)
-        if df.select(*(f"`{x}`" for x in chosen)).distinct().count() == rows and not df.filter(reduce(Column.__or__, (F.col(f"`{x}`").isNull() for x in chosen))).limit(1).count():
-            return chosen
+    for pool in ([c for c in whole if named_like_a_key(c)], [c for c in whole if not named_like_a_key(c)]):
+        while pool:
+            sketched = {c: min(n) for c, n in least(lambda k: F.approx_count_distinct(F.xxhash64(k), 0.01), chosen, pool).items()}
+            near = [c for c in pool if sketched[c] >= 0.95 * max(sketched.values())]
+            exact = least(F.count_distinct, chosen, near)
+            best = max(near, key=lambda c: min(exact[c]))
+            chosen.append(best)
+            if exact[best] == rows:
+                return chosen
+            pool.remove(best)
     return []
 
 
@@ -97,7 +119,7 @@ def draft_recipe(baseline: DataFrame, candidate: DataFrame, mode: str = "keyed")
     scope = {"snapshot": "draft", "cutoff": "draft", "filters": [], "completeness": "full", "expected_empty": False}
     out = {"comparison_mode": mode, "scope": scope, "columns": columns, "excluded_columns": excluded, "output": {"sensitivity": "summary"}}
     if mode == "keyed":
-        key = suggested_key(baseline, shared)
+        key = suggested_key(baseline, shared, candidate)
         return out | {"recipe_version": 1, "keys": key or shared[:1], "identity": {"null_keys": "reject", "duplicates": "reject"}, "nulls_equal": True}
     if mode == "multiset":
         return out | {"recipe_version": 3}

@@ -6,18 +6,26 @@ key, so that every class of discrepancy occurs.
 
 from __future__ import annotations
 
+import contextlib
+import json
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
+from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import analysis, profile, ranges, relations
-from .evolution import inventory_diff
+from . import analysis, catalog, profile, ranges, relations
+from .evolution import inventory_diff, policy_diff
 from .manifests import read_files
 from .parity import aggregate, keyed, multiset
-from .policy import Recipe, Tolerance, parse_recipe
+from .policy import Recipe, Tolerance, parse_recipe, require
 from .scalars import parsed
 from .session import configure
+from .sources import read_source
 from .suites import rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -479,12 +487,26 @@ def type_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.suggested_types(texts, list(SUGGEST_COLUMNS)).select("column", "type")
 
 
-KEY_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+KEY_COLUMNS = ["l_returnflag", "l_linenumber", "l_orderkey"]
+KEY_SQL = f"""WITH one AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, {i} AS o, count(DISTINCT {c}) AS n FROM lineitem" for i, c in enumerate(KEY_COLUMNS))}),
+  two AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, '{d}' AS d, {i} AS o, count(DISTINCT ({c}, {d})) AS n FROM lineitem" for c in KEY_COLUMNS for i, d in enumerate(KEY_COLUMNS) if c != d)}),
+  first AS (SELECT c FROM one ORDER BY n DESC, o LIMIT 1), second AS (SELECT d, n FROM two WHERE c = (SELECT c FROM first) ORDER BY n DESC, o LIMIT 1)
+  SELECT 0 AS position, c AS "column" FROM first WHERE (SELECT n FROM second) = (SELECT count(*) FROM lineitem) UNION ALL SELECT 1, d FROM second WHERE n = (SELECT count(*) FROM lineitem)"""
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS distinct_values, count(*) - count({c}) AS nulls FROM customer" for c in KEY_COLUMNS))
+@query(KEY_SQL)
 def key_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.distinct_counts(read(spark, sf_dir, "customer"), KEY_COLUMNS)
+    """The key of two columns that lines have."""
+    lines = read(spark, sf_dir, "lineitem")
+    return spark.createDataFrame([*enumerate(profile.suggested_key(lines, KEY_COLUMNS, lines.filter("l_orderkey % 2 = 0")))], "position int, column string")
+
+
+DISTINCT_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(DISTINCT {c}) AS distinct_values, count(*) - count({c}) AS nulls FROM customer" for c in DISTINCT_COLUMNS))
+def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.distinct_counts(read(spark, sf_dir, "customer"), DISTINCT_COLUMNS)
 
 
 @query(joined_sql() + f", x AS (SELECT field, k, row_number() OVER (PARTITION BY field ORDER BY k) AS rank FROM ({EVIDENCE_SQL})) SELECT field, k, rank FROM x WHERE rank <= 25 ORDER BY field, rank LIMIT 40")
@@ -504,27 +526,188 @@ def suite_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup(cases.select("case_id", outcome.alias("outcome")))
 
 
-@query("""WITH r AS (SELECT event_type AS policy, event_id AS run, CAST(floor(abs(value)) AS BIGINT) AS discrepancies FROM events WHERE event_id % 50 = 0), p AS (SELECT *, lag(discrepancies) OVER (PARTITION BY policy ORDER BY run) AS before FROM r)
-  SELECT policy, run, discrepancies, discrepancies - before AS change, CASE WHEN before IS NULL THEN NULL WHEN before = 0 AND discrepancies > 0 THEN 'introduced' WHEN before > 0 AND discrepancies = 0 THEN 'resolved' WHEN discrepancies > before THEN 'increased' WHEN discrepancies < before THEN 'decreased' ELSE 'unchanged' END AS transition FROM p""")
+@query("""WITH r AS (SELECT event_type AS policy_sha256, event_id AS added, CAST(floor(abs(value)) AS BIGINT) AS discrepancies FROM events), p AS (SELECT *, lag(discrepancies) OVER (PARTITION BY policy_sha256 ORDER BY added) AS before FROM r)
+  SELECT policy_sha256, added, discrepancies, CASE WHEN before IS NULL THEN NULL WHEN before = 0 AND discrepancies > 0 THEN 'introduced' WHEN before > 0 AND discrepancies = 0 THEN 'resolved' WHEN discrepancies > before THEN 'increased' WHEN discrepancies < before THEN 'decreased' ELSE 'unchanged' END AS transition FROM p""")
 def catalog_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = read(spark, sf_dir, "events").filter(F.col("event_id") % 50 == 0).select(F.col("event_type").alias("policy"), F.col("event_id").alias("run"), F.floor(F.abs("value")).cast("long").alias("discrepancies"))
-    before = F.lag("discrepancies").over(Window.partitionBy("policy").orderBy("run"))
-    with_change = runs.withColumn("before", before).withColumn("change", F.col("discrepancies") - F.col("before"))
-    return with_change.withColumn("transition", F.when(F.col("before").isNotNull(), analysis.transition(F.col("before"), F.col("discrepancies")))).drop("before")
+    runs = read(spark, sf_dir, "events").select(F.col("event_type").alias("policy_sha256"), F.col("event_id").alias("added"), F.floor(F.abs("value")).cast("long").alias("discrepancies"))
+    return catalog.history(runs)
 
 
 @query("""WITH a AS (SELECT column_name AS name, data_type AS t FROM (DESCRIBE orders) d(column_name, data_type, n, k, df, e)), b AS (SELECT CASE WHEN column_name = 'o_orderstatus' THEN 'o_state' ELSE column_name END AS name, CASE WHEN column_name = 'o_totalprice' THEN 'DECIMAL(18,2)' ELSE data_type END AS t FROM (DESCRIBE orders) d(column_name, data_type, n, k, df, e))
   SELECT coalesce(a.name, b.name) AS "column", CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' WHEN a.t = b.t THEN 'unchanged' ELSE 'retyped' END AS change FROM a FULL OUTER JOIN b ON a.name = b.name""")
-def policy_diff_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def schema_inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
     changed = orders.withColumnRenamed("o_orderstatus", "o_state").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
     return inventory_diff(orders, changed)
 
 
+# A policy of all columns of orders, and one in which a column was renamed and one retyped without a declaration.
+
+COLUMN_TYPES = {"bigint": "integer", "int": "integer", "string": "string", "double": "float", "date": "date"}
+
+
+@query("""WITH a AS (SELECT column_name AS name, data_type AS t FROM (DESCRIBE orders) d(column_name, data_type, n, k, df, e)),
+  r AS (SELECT 'column-removed-without-declaration' AS reason FROM a WHERE name = 'o_orderstatus' UNION ALL SELECT 'column-added-without-declaration' FROM a WHERE name = 'o_orderstatus' UNION ALL SELECT 'column-type-changed' FROM a WHERE name = 'o_totalprice' AND t = 'DOUBLE')
+  SELECT DISTINCT 'DENY' AS decision, reason FROM r""")
+def policy_diff_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {n: {"type": COLUMN_TYPES.get(t, "string")} for n, t in read(spark, sf_dir, "orders").dtypes}
+    changed = {("o_state" if n == "o_orderstatus" else n): {"type": "decimal", "scale": 2} if n == "o_totalprice" else c for n, c in columns.items()}
+    found = policy_diff(*(recipe(1, c, keys=["o_orderkey"]) for c in (columns, changed)), [])
+    return spark.createDataFrame([(found["decision"], r) for r in found["reasons"]], "decision string, reason string")
 
 
 @query(None)
 def manifest_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes and digests of two tables' files; digests of files are beyond SQL."""
-    files = read_files(spark, [f"{sf_dir}/{t}.parquet" for t in ("nation", "region")])
+    """Sizes and digests of the files of all tables; SQL over views can't see files (tests hash them anew)."""
+    files = read_files(spark, [sf_dir])
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size", "sha256")
+
+
+# Floats that no decimal of 38 digits holds: by a quarter of the events' ids tiny or huge, some of them moved.
+
+SCALES = ("1e-30", "1e30", "1e300", "1.0")
+EXTREME = recipe(1, {"k": {"type": "integer"}, "value": {"type": "float", "comparison": "numeric", "tolerance": {"formula": "symmetric-v1", "absolute": "0", "relative": "0.001"}}}, keys=["k"])
+
+
+@query(f"""WITH b AS (SELECT event_id AS k, (1 + event_id % 7)::DOUBLE * (CASE event_id % 4 WHEN 0 THEN 1e-30 WHEN 1 THEN 1e30 WHEN 2 THEN 1e300 ELSE 1.0 END)::DOUBLE AS v FROM events),
+  j AS (SELECT CASE k % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS ct FROM b) {class_counts_sql("ct", "value")}""")
+def keyed_float_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    scale = F.element_at(F.array(*(F.lit(float(x)) for x in SCALES)), (k % 4 + 1).cast("int"))
+    base = read(spark, sf_dir, "events").select(k.alias("k"), ((1 + k % 7) * scale).alias("value"))
+    moved = F.when(F.col("k") % 5 == 0, F.col("value") * 1.01).when(F.col("k") % 5 == 1, F.col("value") * 1.0005).otherwise(F.col("value"))
+    sides = [parsed(x, EXTREME, i) for i, x in enumerate((base, base.withColumn("value", moved)))]
+    return keyed.field_counts(keyed.classified(*sides, EXTREME), EXTREME)
+
+
+# Watermarks of the event types, written in another zone, against two ends of the window.
+
+ENDS = ("2024-01-15T00:00:00+00:00", "2030-01-01T00:00:00+00:00")
+
+
+@query(f"""WITH w AS (SELECT min(m) AS least FROM (SELECT event_type, max(ts) AS m FROM events GROUP BY event_type)), e AS (SELECT unnest([{", ".join(f"'{x}'" for x in ENDS)}]) AS window_end)
+  SELECT window_end, least >= CAST(left(window_end, 19) AS TIMESTAMP) AS holds, CASE WHEN least < CAST(left(window_end, 19) AS TIMESTAMP) THEN 'watermark-before-window-end' ELSE 'heuristic-watermark' END AS reason FROM e, w""")
+def alignment_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least of the event types' last times decides, as an instant and not as text."""
+    last = read(spark, sf_dir, "events").groupBy("event_type").agg(F.date_format(F.max("ts") - F.expr("INTERVAL 5 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("m")).collect()
+    datasets = [{"id": r["event_type"], "watermark": r["m"] + "-05:00"} for r in last]
+    found = [(x, *relations.coordination({"event_window": {"end": x}, "coordination": {"mode": "watermark", "watermark_kind": "heuristic"}, "datasets": datasets})) for x in ENDS]
+    return spark.createDataFrame(found, "window_end string, holds boolean, reason string")
+
+
+# Evidence and groups of aggregate and multiset results.
+
+SAMPLED = recipe(2, {"k": {"type": "integer"}, "status": {"type": "string"}, "total": {"type": "decimal", "scale": 2}}, group_by=["status"], measures={"rows": {"operator": "count"}, "sum": {"operator": "sum", "column": "total", "nulls": "reject"}})
+SAMPLED_SQL = f"""WITH b AS ({BASE_SQL}), c AS ({candidate_sql("b")}), l AS (SELECT status, count(*) AS n, sum(total) AS v FROM b GROUP BY status), r AS (SELECT status, count(*) AS n, sum(total) AS v FROM c GROUP BY status),
+  j AS (SELECT coalesce(l.status, r.status) AS status, l.n AS ln, r.n AS rn, l.v AS lv, r.v AS rv FROM l FULL OUTER JOIN r ON l.status = r.status)"""
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = orders_base(spark, sf_dir)
+    return aggregate.classified(*(parsed(x, SAMPLED, i) for i, x in enumerate((base, derived(base)))), SAMPLED)
+
+
+@query(SAMPLED_SQL + """ SELECT status AS group_status, kind, classification, measure, baseline, candidate FROM (
+  SELECT status, 'group' AS kind, CASE WHEN rn IS NULL THEN 'baseline_only' ELSE 'candidate_only' END AS classification, NULL AS measure, NULL AS baseline, NULL AS candidate FROM j WHERE ln IS NULL OR rn IS NULL
+  UNION ALL SELECT status, 'measure', 'different', 'rows', ln::VARCHAR, rn::VARCHAR FROM j WHERE ln <> rn UNION ALL SELECT status, 'measure', 'different', 'sum', lv::VARCHAR, rv::VARCHAR FROM j WHERE lv <> rv)""")
+def aggregate_raw_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.sample(sampled(spark, sf_dir), SAMPLED, 100).select("group_status", "kind", "classification", "measure", "baseline", "candidate")
+
+
+@query(SAMPLED_SQL + """ SELECT * FROM (SELECT 'group' AS kind, 'baseline_only' AS classification, '' AS name, count(*) AS count FROM j WHERE rn IS NULL UNION ALL SELECT 'group', 'candidate_only', '', count(*) FROM j WHERE ln IS NULL
+  UNION ALL SELECT 'measure', 'different', 'rows', count(*) FROM j WHERE ln <> rn UNION ALL SELECT 'measure', 'different', 'sum', count(*) FROM j WHERE lv <> rv) WHERE count > 0""")
+def aggregate_discrepancy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sampled(spark, sf_dir)
+    return analysis.group_frame(aggregate.counters(rows, SAMPLED), aggregate.measure_counts(rows, SAMPLED), "aggregate")
+
+
+@query(f"""WITH b AS ({BASE_SQL}), c AS ({candidate_sql("b")}), l AS (SELECT status, total, count(*) AS n FROM b GROUP BY ALL), r AS (SELECT status, total, count(*) AS n FROM c GROUP BY ALL),
+  j AS (SELECT coalesce(l.n, 0) AS ln, coalesce(r.n, 0) AS rn FROM l FULL OUTER JOIN r ON l.status IS NOT DISTINCT FROM r.status AND l.total IS NOT DISTINCT FROM r.total)
+  SELECT * FROM (SELECT 'row' AS kind, 'baseline_surplus' AS classification, '' AS name, count(*) AS count FROM j WHERE ln > rn UNION ALL SELECT 'row', 'candidate_surplus', '', count(*) FROM j WHERE rn > ln) WHERE count > 0""")
+def multiset_discrepancy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = orders_base(spark, sf_dir)
+    shapes = multiset.folded(*(x.select("status", "total") for x in (base, derived(base))), ["status", "total"])
+    return analysis.group_frame(multiset.counters(shapes), mode="multiset")
+
+
+# Sources: tables written in a format into the shared folder, and read back as text.
+
+SOURCE_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+SOURCE_SQL = f"SELECT {', '.join(f'{c}::VARCHAR AS {c}' for c in SOURCE_COLUMNS)} FROM customer"
+NATION_SQL = "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation"
+
+
+def scratch(spark: SparkSession) -> Path:
+    """A new folder of the shared one that ``spark.checkpoint.dir`` names; a temporary one where it is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="sources-")
+    require("://" not in shared or shared.startswith("file://"), "these queries write to a local or mounted folder")
+    out = Path(shared.removeprefix("file://").removeprefix("file:")) / f"sources-{uuid.uuid4().hex}"
+    out.mkdir(parents=True)
+    return out
+
+
+def written(df: DataFrame, suffix: str, write: Callable[[DataFrame, str], None]) -> str:
+    """Write parts of a format; Spark's names for them get the suffix that tells the format."""
+    folder = scratch(df.sparkSession) / "parts"
+    write(df, str(folder))
+    for part in folder.glob("part-*"):
+        part.rename(part.with_name(part.name.split(".")[0] + suffix))
+    return str(folder)
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(*(F.col(c).cast("string").alias(c) for c in SOURCE_COLUMNS))
+
+
+@query(SOURCE_SQL)
+def source_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_source(spark, written(customers(spark, sf_dir), ".csv", lambda df, to: df.write.option("header", True).csv(to)))
+
+
+@query(SOURCE_SQL)
+def source_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_source(spark, written(customers(spark, sf_dir), ".tsv", lambda df, to: df.write.options(header=True, sep="\t").csv(to)))
+
+
+@query(SOURCE_SQL)
+def source_csv_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_source(spark, written(customers(spark, sf_dir), ".csv.gz", lambda df, to: df.write.options(header=True, compression="gzip").csv(to)))
+
+
+@query(SOURCE_SQL)
+def source_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_source(spark, written(customers(spark, sf_dir), ".jsonl", lambda df, to: df.write.json(to)))
+
+
+@query(SOURCE_SQL)
+def source_parquet_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_source(spark, written(customers(spark, sf_dir), ".parquet", lambda df, to: df.write.parquet(to)))
+
+
+def nations(spark: SparkSession, sf_dir: str) -> list[dict]:
+    """A table of fixed size: 25 rows, whatever the scale."""
+    return [r.asDict() for r in read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).collect()]
+
+
+@query(NATION_SQL)
+def source_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark) / "nation.db"
+    with contextlib.closing(sqlite3.connect(path)) as con, con:
+        con.execute("CREATE TABLE nation (n_nationkey TEXT, n_name TEXT, n_regionkey TEXT)")
+        con.executemany("INSERT INTO nation VALUES (:n_nationkey, :n_name, :n_regionkey)", nations(spark, sf_dir))
+    return read_source(spark, f"sqlite:{path}#nation")
+
+
+@query(NATION_SQL)
+def source_json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark) / "nation.json"
+    path.write_text(json.dumps({"data": {"rows": nations(spark, sf_dir)}}), encoding="utf-8")
+    return read_source(spark, f"json:{path}#/data/rows")
+
+
+@query(NATION_SQL)
+def source_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark) / "nation.xml"
+    rows = "".join("<row>" + "".join(f"<{k}>{escape(v)}</{k}>" for k, v in r.items()) + "</row>" for r in nations(spark, sf_dir))
+    path.write_text(f"<nations><all>{rows}</all></nations>", encoding="utf-8")
+    return read_source(spark, f"xml:{path}#nations/all/row")

@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .parity.keyed import COUNTERS, field_evidence
-from .policy import Recipe, require
+from .policy import Recipe, canonical_json, digest, require
+
+
+#: Counters that make a discovery fail.
+FAILING = ("baseline_only", "candidate_only", "matched_with_required_difference")
 
 
 @dataclass(frozen=True)
@@ -36,12 +40,17 @@ def eligible(recipe: Recipe) -> None:
     require(not recipe.raw, "discovery publishes counts only")
 
 
+def routed(key: Column, plan: RangePlan) -> Column:
+    """The key's range; a null key has none and is an error."""
+    return F.when(key.isNull(), F.raise_error(F.lit("a null key belongs to no range")).cast("int")).otherwise(plan.route(key))
+
+
 def discover(rows: DataFrame, recipe: Recipe, plan: RangePlan) -> DataFrame:
-    """The eight counters per range, of classified rows; ranges without rows have zeros."""
+    """The eight counters per range, of classified rows; ranges without rows have zeros, null keys are an error."""
     eligible(recipe)
     b, c = F.col("in_baseline"), F.col("in_candidate")
     conditions = (b, c, b & c, b & ~c, c & ~b, *(F.col("class") == i for i in range(3)))
-    found = rows.withColumn("part", plan.route(F.col(recipe.keys[0]))).groupBy("part").agg(*(F.count_if(x).alias(n) for n, x in zip(COUNTERS, conditions, strict=True)))
+    found = rows.withColumn("part", routed(F.col(recipe.keys[0]), plan)).groupBy("part").agg(*(F.count_if(x).alias(n) for n, x in zip(COUNTERS, conditions, strict=True)))
     every = rows.sparkSession.range(len(plan.uppers) + 1).select(F.col("id").cast("int").alias("part"))
     return every.join(found, "part", "left").na.fill(0)
 
@@ -51,6 +60,13 @@ def suspects(found: DataFrame) -> DataFrame:
     return found.filter("baseline_only + candidate_only + matched_within_tolerance + matched_with_required_difference > 0")
 
 
+def _case_counts(chosen: DataFrame, recipe: Recipe) -> DataFrame:
+    """(part, case_count) straight from the classes: a one-sided key is a case, and each field that isn't exact."""
+    fields = sum(((F.col(f"c_{f.name}") > 0).cast("int") for f in recipe.values), F.lit(0))
+    cases = F.when(F.col("class").isNull(), 1).otherwise(fields)
+    return chosen.groupBy("part").agg(F.sum(cases).cast("long").alias("case_count"))
+
+
 def investigate(rows: DataFrame, recipe: Recipe, plan: RangePlan, parts: list[int], per_part: int, total: int) -> DataFrame:
     """Cases of the chosen ranges: part, key, kind, field, at most ``per_part`` a range and ``total`` together.
 
@@ -58,12 +74,47 @@ def investigate(rows: DataFrame, recipe: Recipe, plan: RangePlan, parts: list[in
     range has, so that a cut is visible.  The rank is cut per task before the shuffle.
     """
     key = recipe.keys[0]
-    routed = rows.withColumn("part", plan.route(F.col(key))).filter(F.col("part").isin(parts))
-    sided = routed.filter(F.col("class").isNull()).select("part", F.col(key).alias("key"), F.when(F.col("in_baseline"), 0).otherwise(1).alias("section"), F.lit("").alias("field"))
-    fields = field_evidence(routed, recipe).select(plan.route(F.col(key)).alias("part"), F.col(key).alias("key"), F.lit(2).alias("section"), "field")
+    chosen = rows.withColumn("part", routed(F.col(key), plan)).filter(F.col("part").isin(parts))
+    sided = chosen.filter(F.col("class").isNull()).select("part", F.col(key).alias("key"), F.when(F.col("in_baseline"), 0).otherwise(1).alias("section"), F.lit("").alias("field"))
+    fields = field_evidence(chosen, recipe).select(plan.route(F.col(key)).alias("part"), F.col(key).alias("key"), F.lit(2).alias("section"), "field")
     cases = sided.unionByName(fields)
-    counts = cases.groupBy("part").agg(F.count(F.lit(1)).alias("case_count"))
+    counts = _case_counts(chosen, recipe)
     order = Window.partitionBy("part").orderBy("section", "key", "field")
     ranked = cases.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_part)
     kind = F.element_at(F.array(F.lit("baseline_only"), F.lit("candidate_only"), F.lit("field")), F.col("section") + 1)
     return ranked.join(counts, "part").select("part", "key", kind.alias("kind"), "field", F.col("rank").cast("long").alias("rank"), "case_count").orderBy("part", "rank").limit(total)
+
+
+def receipt(found: list[dict], plan: RangePlan, recipe: Recipe) -> dict:
+    """A discovery's ranges, totals and outcome, as published."""
+    body = {"policy_sha256": recipe.fingerprint, "uppers": list(plan.uppers), "ranges": found, "totals": {n: sum(r[n] for r in found) for n in COUNTERS}}
+    body["outcome"] = "FAIL" if any(body["totals"][n] for n in FAILING) else "PASS"
+    return body | {"receipt_sha256": digest(body)}
+
+
+def verify_receipt(value: dict, plan: RangePlan) -> dict:
+    """The receipt, if its counts can be true together, agree with the plan and say its outcome."""
+    body = {k: v for k, v in value.items() if k != "receipt_sha256"}
+    require(digest(body) == value.get("receipt_sha256"), "the receipt was changed")
+    require(tuple(body["uppers"]) == plan.uppers and [r["part"] for r in body["ranges"]] == list(range(len(plan.uppers) + 1)), "the receipt is of another plan")
+    for r in (*body["ranges"], body["totals"]):
+        require(all(type(r[n]) is int and r[n] >= 0 for n in COUNTERS), "a counter is no count")
+        matched = r["matched_exact"] + r["matched_within_tolerance"] + r["matched_with_required_difference"]
+        require(r["baseline"] == r["common_keys"] + r["baseline_only"] and r["candidate"] == r["common_keys"] + r["candidate_only"] and matched == r["common_keys"], "the counters of a range contradict each other")
+    require(all(body["totals"][n] == sum(r[n] for r in body["ranges"]) for n in COUNTERS), "the totals aren't those of the ranges")
+    require((body["outcome"] == "FAIL") == any(body["totals"][n] for n in FAILING), "the outcome isn't what the counts say")
+    return value
+
+
+def completeness(cases: list[dict], parts: list[int], max_bytes: int) -> dict:
+    """An investigation's cases up to a number of bytes as JSON, and whether each range, and all, are complete."""
+    kept, size = [], 0
+    for c in cases:
+        size += len(canonical_json({k: str(v) for k, v in c.items()}))
+        if size > max_bytes:
+            break
+        kept.append(c)
+    every = {c["part"]: c["case_count"] for c in cases}
+    shown = {p: sum(c["part"] == p for c in kept) for p in parts}
+    flags = {p: shown[p] == every.get(p, 0) for p in parts}
+    return {"cases": kept, "ranges": [{"part": p, "shown": shown[p], "case_count": every.get(p), "complete": p in every and flags[p]} for p in parts], "complete": all(p in every and flags[p] for p in parts)}

@@ -5,6 +5,7 @@ Every check runs on one side's set of datasets and gives one row of counters.
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -112,21 +113,25 @@ def acyclic(links: list[tuple[str, str]]) -> bool:
     return True
 
 
-def coordination(mode: str, datasets: list[dict], end: str) -> tuple[bool, bool]:
-    """(holds, certain) of a declared coordination of snapshots.
+def coordination(alignment: dict) -> tuple[bool, str | None]:
+    """(holds, reason) of a declared coordination of snapshots; a reason without a failure is a doubt.
 
-    source-snapshot: one token per domain; watermark: every watermark reaches the end,
-    which is a sign and no proof; declared-cutoff: never more than a claim.
+    source-snapshot: one token per domain, which is certain; watermark: every one is an
+    instant at or after the window's end, certain if the streams are closed and a sign
+    only if they are heuristic; declared-cutoff: never more than a claim.
     """
-    if mode == "source-snapshot":
-        tokens: dict[str, set] = {}
-        for d in datasets:
-            tokens.setdefault(d["token_domain"], set()).add(d["snapshot_token"])
-        return all(len(x) == 1 for x in tokens.values()), True
-    if mode == "watermark":
-        return all(d["watermark"] >= end for d in datasets), False
-    require(mode == "declared-cutoff", "coordination.mode is unknown")
-    return True, False
+    declared, datasets = alignment["coordination"], alignment["datasets"]
+    if declared["mode"] == "source-snapshot":
+        tokens = {(d["token_domain"], d["snapshot_token"]) for d in datasets}
+        split = len(tokens) > len({domain for domain, _ in tokens})
+        return not split, "snapshot-tokens-differ" if split else None
+    if declared["mode"] == "watermark":
+        end = datetime.fromisoformat(alignment["event_window"]["end"])
+        if min(datetime.fromisoformat(d["watermark"]) for d in datasets) < end:
+            return False, "watermark-before-window-end"
+        return True, "heuristic-watermark" if declared["watermark_kind"] == "heuristic" else None
+    require(declared["mode"] == "declared-cutoff", "coordination.mode is unknown")
+    return True, "coordination-not-machine-established"
 
 
 def outcome(failed: bool, uncertain: bool) -> str:

@@ -50,9 +50,14 @@ def trim(c: Column) -> Column:
 
 
 def normalized(c: Column, rules: tuple[str, ...]) -> Column:
-    """Apply the rules in order; case folding of ASCII text stays out of Python."""
+    """Apply the rules in order; ASCII text is folded in the JVM and is in NFC as it is, so Python gets nulls for it."""
     for rule in rules:
-        c = {"trim": trim, "casefold": casefold, "unicode_nfc": nfc}[rule](c)
+        if rule == "trim":
+            c = trim(c)
+            continue
+        ascii_ = c.rlike(r"^\p{ASCII}*$")
+        other = {"casefold": casefold, "unicode_nfc": nfc}[rule](F.when(~ascii_, c))
+        c = F.when(ascii_, F.lower(c) if rule == "casefold" else c).otherwise(other)
     return c
 
 
@@ -134,5 +139,8 @@ def parsed(df: DataFrame, recipe: Recipe, side: int, keep_ok: bool = False) -> D
 
 
 def exact_number(c: Column, kind: str) -> Column:
-    """A number as a decimal for tolerances; a double by its shortest text."""
-    return c.cast("string").cast("decimal(38,18)") if kind == "float" else c
+    """A number as a decimal for tolerances; a double by its shortest text, null where that doesn't fit."""
+    if kind != "float":
+        return c
+    exact = c.cast("string").try_cast("decimal(38,18)")
+    return F.when((F.abs(c) < 1e12) & (exact.cast("double") == c), exact)

@@ -126,7 +126,9 @@ def json_lines(spark: SparkSession, path: Path) -> DataFrame:
     require(bool(names), "a line must be an object with fields")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     keys = F.array_sort(F.json_object_keys("value"))
-    nested = F.exists(F.array(*(F.get_json_object("value", f"$['{n}']") for n in names)), lambda x: x.rlike(r"^\s*[\[{]"))
+    # A value's kind is its own first character: parsed as a variant, a string keeps its quotes.
+    kinds = F.from_json("value", T.MapType(T.StringType(), T.VariantType()), {"mode": "PERMISSIVE"})
+    nested = F.exists(F.transform(F.map_values(kinds), F.schema_of_variant), lambda x: x.startswith("OBJECT") | x.startswith("ARRAY"))
     good = keys.isNotNull() & (F.size(keys) == len(names)) & (keys == F.array(*map(F.lit, names))) & ~F.coalesce(nested, F.lit(False))
     row = F.from_json("value", schema, {"primitivesAsString": "true", "mode": "FAILFAST"})
     checked = F.when(good, row).otherwise(F.raise_error(F.lit("a line's fields differ, repeat or are nested")).cast(schema))

@@ -4,6 +4,7 @@ import copy
 import json
 import sqlite3
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -270,7 +271,7 @@ def test_references_and_conservation(spark):
     got = relations.conservation(relations.conservation_groups(p, ["g"], "m", c, ["g"], "m", "integer", 0, Tolerance(Decimal(1), Decimal(0)))).first()
     assert tuple(got) == (6, 3, 1, 0, 1, 2, 1, 1)
     assert relations.acyclic([("a", "b"), ("b", "c")]) and not relations.acyclic([("a", "b"), ("b", "a")])
-    assert relations.coordination("watermark", [{"watermark": "2026"}], "2025") == (True, False)
+    assert relations.coordination({"event_window": {"end": "2025-01-01T00:00:00Z"}, "coordination": {"mode": "watermark", "watermark_kind": "heuristic"}, "datasets": [{"watermark": "2026-01-01T00:00:00Z"}]}) == (True, "heuristic-watermark")
     assert relations.outcome(True, True) == "FAIL"
 
 
@@ -371,6 +372,88 @@ def test_bundles_and_catalog(spark, tmp_path):
     assert len(book.states()) == 1
 
 
+def test_key_search(spark):
+    rows = [(a, b, c, "x" if a else None) for a in range(4) for b in range(3) for c in range(2)]
+    df = spark.createDataFrame(rows, "a long, b long, c long, valid string")
+    assert profile.suggested_key(df, ["c", "b", "a", "valid"]) == ["a", "b", "c"]
+    five = spark.createDataFrame([tuple(i >> k & 1 for k in range(5)) for i in range(32)], "v long, w long, x long, y long, z long")
+    assert sorted(profile.suggested_key(five, five.columns)) == five.columns
+    assert profile.suggested_key(df, ["a", "b"]) == [] and profile.suggested_key(df.limit(0), ["a"]) == []
+    # On the other side a repeats: the pair is needed there.
+    one = spark.createDataFrame([(1, 1), (2, 2)], "a_id long, b long")
+    assert profile.suggested_key(one, ["a_id", "b"]) == ["a_id"]
+    assert profile.suggested_key(one, ["a_id", "b"], spark.createDataFrame([(1, 1), (1, 2)], one.schema)) == ["a_id", "b"]
+    assert not profile.named_like_a_key("valid") and profile.named_like_a_key("Order_ID")
+
+
+def test_float_tolerance_beyond_decimals(spark):
+    from concordance.parity.classes import code
+    from concordance.policy import Tolerance
+
+    rows = [(1e25, 1.1e25), (1e-25, 3e-25), (1e25, 1.0000001e25), (1.7e308, -1.7e308), (5e-324, 0.0), (0.1, 0.1 + 1e-12), (1e15, 1e15 + 1), (2.0, 2.000002)]
+    df = spark.createDataFrame(rows, "l double, r double")
+    got = [x[0] for x in df.select(code(F.col("l"), F.col("r"), "float", Tolerance(Decimal(0), Decimal("0.000001")), True)).collect()]
+    exact = [abs(Fraction(repr(b)) - Fraction(repr(a))) <= Fraction(1, 10**6) * max(abs(Fraction(repr(a))), abs(Fraction(repr(b)))) for a, b in rows]
+    assert got == [1 if x else 2 for x in exact] and got[:2] == [2, 2]
+    big = spark.createDataFrame([(Decimal(10) ** 37, Decimal(10) ** 37 + 1)], "l decimal(38,0), r decimal(38,0)")
+    with pytest.raises(Exception, match="too large") as e:
+        big.select(code(F.col("l"), F.col("r"), "integer", Tolerance(Decimal(0), Decimal("0.0000000000000000000000000000015")), True)).collect()
+    assert "1000000000" not in str(e.value)
+
+
+def test_watermarks_are_instants(spark):
+    base = {"alignment_version": 1, "event_window": {"start": "2024-01-01T00:00:00Z", "end": "2024-02-01T00:00:00Z", "bounds": "start-inclusive-end-exclusive"}}
+    how = {"mode": "watermark", "claim_id": "c", "receipt_sha256": "0" * 64, "watermark_kind": "closed-world", "idle_partition_policy": "documented"}
+
+    def judged(watermark, kind="closed-world", lateness=0):
+        dataset = {"id": "d", "event_time_column": "t", "watermark": watermark, "allowed_lateness_seconds": lateness}
+        return relations.coordination(reconcile.read_alignment(base | {"coordination": how | {"watermark_kind": kind}, "datasets": [dataset]}))
+
+    assert judged("2024-02-01T00:30:00+02:00") == (False, "watermark-before-window-end")
+    assert judged("2024-01-31T23:00:00-01:00") == (True, None)
+    assert judged("2024-02-01T00:00:00Z", "heuristic") == (True, "heuristic-watermark")
+    for bad in (("2024-02-01T00:00:00",), ("soon",), ("2024-02-01T00:00:00Z", "sure"), ("2024-02-01T00:00:00Z", "heuristic", -1)):
+        with pytest.raises(PolicyError):
+            judged(*bad)
+
+
+def test_null_keys_have_no_range(spark):
+    r = parse_recipe(copy.deepcopy(KEYED | {"columns": {"id": {"type": "integer"}, "v": {"type": "string"}}}))
+    df = texts(spark, [("1", "a"), ("", "b")])
+    rows = keyed.classified(parsed(df, r, 0), parsed(df, r, 1), r)
+    plan = ranges.RangePlan((5,))
+    with pytest.raises(Exception, match="null key"):
+        ranges.discover(rows, r, plan).collect()
+    found = [x.asDict() for x in ranges.discover(rows.filter("id IS NOT NULL"), r, plan).orderBy("part").collect()]
+    receipt = ranges.receipt(found, plan, r)
+    assert ranges.verify_receipt(receipt, plan)["outcome"] == "PASS"
+    for bad in (receipt | {"outcome": "FAIL"}, ranges.receipt([found[0] | {"baseline": 7}, found[1]], plan, r), ranges.receipt(found[:1], plan, r)):
+        with pytest.raises(PolicyError):
+            ranges.verify_receipt(bad, plan)
+
+
+def test_counts_that_cannot_be(spark):
+    check = {"id": "i", "kind": "identity", "dataset": "d", "columns": ["a"], "nulls": "forbid"}
+    counts = {"rows": 3, "distinct_keys": 2, "null_key_rows": 0, "duplicate_keys": 1, "failures": 1}
+    reconcile.verify_counts(check, {"counts": counts, "outcome": "FAIL"}, {"d": 3})
+    for bad, outcome in (({"rows": 4}, "FAIL"), ({}, "PASS"), ({"duplicate_keys": 0, "failures": 0}, "PASS"), ({"null_key_rows": 9}, "FAIL"), ({"rows": -3}, "FAIL")):
+        with pytest.raises(PolicyError):
+            reconcile.verify_counts(check, {"counts": counts | bad, "outcome": outcome}, {"d": 3})
+
+
+def test_aggregate_evidence(spark):
+    r = parse_recipe({"recipe_version": 2, "comparison_mode": "aggregate", "scope": KEYED["scope"], "columns": {"id": {"type": "string"}, "v": {"type": "integer"}}, "group_by": ["id"], "measures": {"n": {"operator": "count"}, "s": {"operator": "sum", "column": "v", "nulls": "reject", "comparison": "numeric", "tolerance": CENT}}, "output": {"sensitivity": "raw"}})
+    got = compare_frames(r, texts(spark, [("a", "1"), ("b", "2"), ("c", "3")]), texts(spark, [("a", "1"), ("b", "3"), ("d", "1")]))
+    assert [(x["kind"], x["classification"], x["group_id"], x["measure"], x["baseline"], x["candidate"], x["delta"]) for x in got["sample"]] == [("group", "baseline_only", "c", None, None, None, None), ("group", "candidate_only", "d", None, None, None, None), ("measure", "different", "b", "s", "2", "3", "1")]
+    assert got["discrepancies"] == 3 == sum(g["count"] for g in got["groups"]) and {g["kind"] for g in got["groups"]} == {"group", "measure"}
+    assert compare_frames(r, texts(spark, [("a", "1"), ("b", "2")]), texts(spark, [("a", ""), ("b", "3")]))["sample"] == []
+
+
+def test_strings_that_look_nested(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(json.dumps({"id": "1", "it's": "[draft] hello"}) + "\n" + json.dumps({"id": "2", "it's": "{x"}) + "\n")
+    assert sorted(tuple(x) for x in read_source(spark, str(tmp_path / "a.jsonl")).collect()) == [("1", "[draft] hello"), ("2", "{x")]
+
+
 def test_series_and_groups(spark):
     counts = {"baseline_only": 2, "candidate_only": 0}
     groups = analysis.groups(counts, [{"field": "v", "within_tolerance": 0, "different": 3}])
@@ -400,6 +483,39 @@ def test_suites(spark):
     assert suites.worst(["PASS", "INCONCLUSIVE", "FAIL"]) == "INCONCLUSIVE"
 
 
+def test_published_plans():
+    base = {"id": "orders-keyed", "recipe": "../r.json", "baseline": "../a.csv", "candidate": "json:../b.json#/x"}
+    lock = "88de243927d26e234bff123a62f4b5f9d92a5a0df7024ed9c7b31d57466b6bf9"
+    (one,) = suites.read_plan({"suite_version": 1, "cases": [base | {"expected_policy_sha256": lock}]})
+    assert one.expected_policy_sha256 == lock
+    two = suites.read_plan({"suite_version": 2, "defaults": {"limits": {"max_rows": 10, "max_groups": 5}}, "cases": [base | {"tags": ["critical", "orders"], "description": "d", "limits": {"max_groups": 7}, "execution": {"engine": "sqlite", "max_temp_bytes": 9}}]})[0].limited
+    assert (two.max_rows, two.max_groups, two.max_temp_bytes, two.max_distinct_rows) == (10, 7, 9, 100_000)
+    bad = [{"limits": {"max_rows": 0}}, {"limits": {"rows": 1}}, {"tags": ["b", "a"]}, {"execution": {"engine": "other"}}, {"id": "a--b"}, {"id": "A"}, {"description": ""}, {"baseline": "/etc/x.csv"}, {"expected_policy_sha256": "0"}]
+    for more in bad:
+        with pytest.raises(PolicyError):
+            suites.read_plan({"suite_version": 2, "cases": [base | more]})
+    with pytest.raises(PolicyError):
+        suites.read_plan({"suite_version": 1, "defaults": {}, "cases": [base]})
+
+
+def test_suite_resume(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps(KEYED))
+    for name, v in (("a", 1), ("b", 2)):
+        (tmp_path / f"{name}.csv").write_text(f"id,v\nx,{v}\n")
+    cases = [{"id": "same", "recipe": "r.json", "baseline": "a.csv", "candidate": "a.csv"}, {"id": "other", "recipe": "r.json", "baseline": "a.csv", "candidate": "b.csv"}, {"id": "broken", "recipe": "r.json", "baseline": "a.csv", "candidate": "a.csv", "limits": {"max_input_bytes": 1}}]
+    (tmp_path / "plan.json").write_text(json.dumps({"suite_version": 2, "cases": cases}))
+
+    def go():
+        code = cli.main(["run-suite", str(tmp_path / "plan.json"), str(tmp_path / "work"), "--jobs", "2"])
+        return code, {r["id"]: (r["outcome"], r.get("reused")) for r in json.loads((tmp_path / "work" / "suite.json").read_text())["cases"]}
+
+    assert go() == (2, {"same": ("PASS", False), "other": ("FAIL", False), "broken": ("ERROR", None)})
+    assert go()[1] == {"same": ("PASS", True), "other": ("FAIL", True), "broken": ("ERROR", None)}
+    (tmp_path / "b.csv").write_text("id,v\nx,1\n")
+    (tmp_path / "work" / "same" / "report.html").write_text("changed")
+    assert go()[1] == {"same": ("PASS", False), "other": ("PASS", False), "broken": ("ERROR", None)}
+
+
 def field(i, name):
     return {"id": i, "name": name, "presence": "required", "nullability": "non-null"}
 
@@ -446,6 +562,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["compare", at("r.json"), at("a.csv"), at("b.csv"), at("out3"), "--expected-policy-sha256", "0"]) == 2
     assert cli.main(["verify", at("out2")]) == 1 and cli.main(["explain", at("r.json")]) == 0
     assert load_recipe(tmp_path / "r.json").fingerprint in capsys.readouterr().out
+    assert evidence.verify(tmp_path / "out3")["outcome"] == "ERROR"
+    assert cli.main(["compare", at("r.json"), at("a.csv"), at("b.csv"), at("out4"), "--max-input-bytes", "3"]) == 2
+    assert cli.main(["compare", at("r.json"), at("a.csv"), at("b.csv"), at("out5"), "--max-input-bytes", "5000000000"]) == 1
+    assert cli.main(["analyze", at("out2")]) == 0 and cli.main(["series", at("out"), at("out2")]) == 1
+    assert cli.main(["ci-report", at("out2"), at("ci.md")]) == 0 and "FAIL" in (tmp_path / "ci.md").read_text()
+    assert cli.main(["export", at("out2"), at("rows.jsonl")]) == 0 and cli.main(["diff-policy", at("r.json"), at("r.json")]) == 0
+    assert cli.main(["init", at("new")]) == 0 and cli.main(["run-suite", at("new/suite.json"), at("new/work")]) == 1
+    (tmp_path / "keyed.json").write_text(json.dumps(KEYED | {"columns": {"id": {"type": "integer"}, "v": {"type": "string"}}}))
+    (tmp_path / "ranges.json").write_text(json.dumps({"partition_plan_version": 1, "ranges": [{"upper": 5}, {"upper": None}]}))
+    (tmp_path / "n.csv").write_text("id,v\n1,a\n7,b\n")
+    (tmp_path / "m.csv").write_text("id,v\n1,a\n7,c\n")
+    capsys.readouterr()
+    assert cli.main(["discover", at("keyed.json"), at("ranges.json"), at("n.csv"), at("m.csv")]) == 1
+    (tmp_path / "receipt.json").write_text(capsys.readouterr().out)
+    assert cli.main(["verify-discovery", at("receipt.json"), at("ranges.json")]) == 1
+    assert cli.main(["investigate", at("keyed.json"), at("ranges.json"), at("n.csv"), at("m.csv")]) == 1
+    assert json.loads(capsys.readouterr().out)["ranges"] == [{"part": 1, "shown": 1, "case_count": 1, "complete": True}]
     (tmp_path / "twice.json").write_text('{"a": 1, "a": 2}')
     assert cli.main(["explain", at("twice.json")]) == 2
 
