@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -95,10 +97,17 @@ _kept: dict[object, dict] = {}
 def kept(owner: object) -> dict:
     """What a Python worker keeps from task to task for one owner; what others kept is let go.
 
-    A reused worker thus holds the tables of one operator at a time.
+    A reused worker thus holds the tables of one operator at a time, and gives the memory
+    of the others back.
     """
-    for other in [x for x in _kept if x != owner]:
+    others = [x for x in _kept if x != owner]
+    for other in others:
         del _kept[other]
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
     return _kept.setdefault(owner, {})
 
 

@@ -42,10 +42,10 @@ BLANK_OR_STOP = re.compile(rf"(?<=[^\s▁]) (?=[^\s▁])|(?<=[{PLAIN}])(?=[.,;:!
 #: Characters that the library gets at once, about, where a text has safe boundaries.
 SEGMENT = 1 << 18
 #: Bytes of text that are cut into words at once.
-BATCH = 1 << 23
+BATCH = 1 << 22
 #: Distinct pieces, and words, that a worker remembers, and their characters; beyond
 #: these, it forgets some.
-REMEMBERED, REMEMBERED_CHARACTERS = 800_000, 1 << 24
+REMEMBERED, REMEMBERED_CHARACTERS = 400_000, 1 << 23
 
 
 def segments(text: str, limit: int = SEGMENT, boundary: re.Pattern = BLANK) -> Iterator[str]:
