@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: Stands for a null id in the order of documents: before all others.
 LEAST_ID = -(2**63)
-#: Documents of a range of ids, about.
-RANGE_ROWS = 20_000
+#: Ranges of ids for each shuffle partition.
+RANGES = 4
+#: Characters of a text that split the rows of one id, where these are too many.
+HEAD = 16
 
 
 def sha(x: Column) -> Column:
@@ -65,29 +67,41 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, also: dict[str, Colum
     null ids come first, equal ids are ordered by text.
 
     Nothing is sorted in one place: the ids alone are range-partitioned to get the first
-    id of each range (as many values as ranges come to the driver), then texts are dealt by
-    range, and the first document of a range is dealt a second time, as the end of the
-    range before.  One shuffle of the texts; a window per range finds the next.
+    id of each range (as many values as ranges, RANGES a shuffle partition, come to the
+    driver), then texts are dealt by range, and the first document of a range is dealt a
+    second time, as the end of the range before.  One shuffle of the texts; a window per range
+    finds the next.  A range is looked up in two steps: a few ids in the plan give its
+    group, and a broadcast table the group's ranges.
+
+    If an id, or null, has more rows than a range should, ranges are cut within it as well:
+    by the beginning of the text and then by its hash.  Rows of one id with the same
+    beginning are then ordered by the hash; only identical rows stay together.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID))
-    ids = docs.select(key.alias("key"))
-    n_ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // RANGE_ROWS))
-    firsts = [r[0] for r in ids.repartitionByRange(n_ranges, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("key")).select("key").orderBy("key").collect()]
+    key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)), F.coalesce(F.col(text_col), F.lit(""))
+    n_ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, most = docs.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    crowded = (most or 0) > max(2, (rows or 0) // n_ranges)
+    within = (F.substring(text, 1, HEAD), F.xxhash64(text)) if crowded else (F.lit(""), F.lit(0).cast("long"))
+    place = F.struct(key.alias("key"), within[0].alias("head"), within[1].alias("hash"))
+    ids = docs.select(place.alias("at"))
+    firsts = [r[0] for r in ids.repartitionByRange(n_ranges, "at").groupBy(F.spark_partition_id()).agg(F.min("at").alias("at")).select("at").orderBy("at").collect()]
+    firsts = firsts or [(LEAST_ID, "", 0)]
     step = max(1, int(len(firsts) ** 0.5))
-    groups = [firsts[i : i + step] for i in range(0, len(firsts), step)] or [[LEAST_ID]]
-    literal = F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>")
-    heads = F.from_json(F.lit(json.dumps([x[0] for x in groups])), "array<bigint>")
-    upto = lambda values: F.size(F.filter(values, lambda x: x <= F.col("key")))
-    rows = docs.select(key.alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("group", upto(heads)).withColumn("values", F.element_at(literal, F.col("group"))).withColumn("at", upto(F.col("values")))
-    rows = rows.withColumn("range", (F.col("group") - 1) * step + F.col("at")).withColumn("first", F.element_at("values", F.col("at")) == F.col("key"))
-    before = F.when(F.col("range") == 1, F.lit(max(1, len(firsts)))).otherwise(F.col("range") - 1)
+    groups = [firsts[i : i + step] for i in range(0, len(firsts), step)]
+    kind = "struct<key: bigint, head: string, hash: bigint>"
+    listed = F.broadcast(spark.createDataFrame([(i + 1, [tuple(x) for x in g]) for i, g in enumerate(groups)], f"group int, firsts array<{kind}>"))
+    heads = F.from_json(F.lit(json.dumps([dict(zip(("key", "head", "hash"), g[0], strict=True)) for g in groups])), f"array<{kind}>")
+    upto = lambda values: F.size(F.filter(values, lambda x: x <= F.col("at")))
+    rows = docs.select(place.alias("at"), F.col(id_col).alias("id"), text.alias("text"))
+    rows = rows.withColumn("group", upto(heads)).join(listed, "group").withColumn("nth", upto(F.col("firsts")))
+    rows = rows.withColumn("range", (F.col("group") - 1) * step + F.col("nth")).withColumn("first", F.element_at("firsts", F.col("nth")) == F.col("at"))
+    before = F.when(F.col("range") == 1, F.lit(len(firsts))).otherwise(F.col("range") - 1)
     here = F.struct(F.col("range"), F.lit(0).alias("end"))
     places = F.when(F.col("first"), F.array(here, F.struct(before.cast("int").alias("range"), F.lit(1).alias("end")))).otherwise(F.array(here))
     names = list(also)
-    rows = rows.select("key", "id", "text", *(c.alias(x) for x, c in also.items()), F.explode(places).alias("place"))
-    window = Window.partitionBy("place.range").orderBy("place.end", "key", "text")
+    rows = rows.select("at", "id", "text", *(c.alias(x) for x, c in also.items()), F.explode(places).alias("place"))
+    window = Window.partitionBy("place.range").orderBy("place.end", "at", "text")
     rows = rows.select("id", "text", *names, "place.end", *(F.lead(x).over(window).alias(f"next_{x}") for x in ("text", *names)))
     return rows.filter("end = 0").drop("end")
 
