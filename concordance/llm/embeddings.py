@@ -26,6 +26,8 @@ from .components import components
 BLOCK = 2048
 #: Cells with a centre of their own, about, of all labels together.
 MOST_CELLS = 512
+#: Rows of a matrix of distances that is computed at once.
+ROWS = 512
 #: Slack for rounding in bounds; what lies nearer to a bound is opened or computed exactly.
 SLACK = 1e-7
 
@@ -66,7 +68,18 @@ def cover_tree(x: np.ndarray, least_radius: float) -> Node:
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a - b) ** 2).sum(-1))
+    """Of unit vectors ``a`` to one; by their products, so right to about 1e-8, within SLACK."""
+    return np.sqrt(np.maximum(2 - 2 * a @ b, 0))
+
+
+def at_scale(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component to 0.5 to 1: no square is lost or too large."""
+    return np.ldexp(vectors, -np.frexp(abs(vectors).max(1))[1][:, None])
+
+
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    vectors = at_scale(vectors)
+    return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
 
 
 class Linked:
@@ -95,43 +108,47 @@ def traverse(x: np.ndarray, weight: np.ndarray, a: Node, b: Node, least_cosine:
     """Add to ``linked`` the links between the members of a and b (those within a if b is a).
 
     ``weight``: vectors that a row stands for.  ``exact(i, rows)``: which rows have a
-    cosine of at least ``least_cosine`` with row i.
+    cosine of at least ``least_cosine`` with row i.  A pair of nodes is opened on both sides
+    at once: all distances between their children come from one product of matrices.
     """
     most = np.sqrt(2 - 2 * least_cosine)
     stack = [(a, b)]
     while stack:
         p, q = stack.pop()
+        if p is q and 2 * p.radius < most - SLACK:
+            linked.count[p.members] += weight[p.members].sum() - weight[p.members]
+            linked.join(p.members, p.centre)
+            continue
         if p is q:
-            if 2 * p.radius < most - SLACK:
-                linked.count[p.members] += weight[p.members].sum() - weight[p.members]
-                linked.join(p.members, p.centre)
-                continue
             stack += [(c, c) for c in p.children]
-            for i, c in enumerate(p.children[:-1]):
-                stack += _opened(x, most, linked, weight, exact, c, p.children[i + 1 :])
-        else:
-            larger, other = (p, q) if len(p.members) > 1 and p.radius >= q.radius or len(q.members) == 1 else (q, p)
-            stack += _opened(x, most, linked, weight, exact, other, larger.children or [larger])
-
-
-def _opened(x, most, linked, weight, exact, one: Node, others: list[Node]) -> list[tuple[Node, Node]]:
-    """Compare a node with several at once; gives the pairs that are to be opened."""
-    d = _distance(x[[o.centre for o in others]], x[one.centre])
-    r = np.array([o.radius for o in others]) + one.radius
-    out = []
-    for i in np.flatnonzero(d - r <= most + SLACK).tolist():
-        o = others[i]
-        if d[i] + r[i] < most - SLACK:
-            _link(linked, weight, one.members, o.members)
-        elif len(one.members) == 1 or len(o.members) == 1 or (one.radius == 0 and o.radius == 0):
-            single, rest = (one, o) if len(one.members) == 1 else (o, one)
-            for m in single.members.tolist():
-                near = rest.members[exact(m, rest.members)]
-                if len(near):
-                    _link(linked, weight, np.array([m]), near)
-        else:
-            out.append((one, o))
-    return out
+        left, right = p.children or [p], q.children or [q]
+        own, other = _balls(x, left), _balls(x, right)
+        for begin in range(0, len(left), ROWS):
+            at = slice(begin, begin + ROWS)
+            d = np.sqrt(np.maximum(2 - 2 * own[0][at] @ other[0].T, 0))
+            r = own[1][at, None] + other[1]
+            near = d - r <= most + SLACK
+            if p is q:  # each pair of children once
+                near &= np.arange(begin, begin + len(near))[:, None] < np.arange(len(right))
+            i, j = np.nonzero(near)
+            inside = (d + r)[i, j] < most - SLACK
+            singles = own[2][i + begin] & other[2][j]
+            for k, m in zip((i[inside] + begin).tolist(), j[inside].tolist(), strict=True):
+                _link(linked, weight, left[k].members, right[m].members)
+            for k, m in zip((i[~inside & ~singles] + begin).tolist(), j[~inside & ~singles].tolist(), strict=True):
+                stack.append((left[k], right[m]))
+            i, j = i[~inside & singles] + begin, j[~inside & singles]
+            for k in np.unique(i).tolist():
+                rows = other[3][j[i == k]]
+                found = rows[exact(left[k].centre, rows)]
+                if len(found):
+                    _link(linked, weight, left[k].members, found)
+
+
+def _balls(x: np.ndarray, nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, radii, whether a node is a single row, and the centres' rows."""
+    rows = np.array([n.centre for n in nodes])
+    return x[rows], np.array([n.radius for n in nodes]), np.array([len(n.members) == 1 for n in nodes]), rows
 
 
 def _link(linked: Linked, weight: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -146,6 +163,7 @@ def block_links(ids: np.ndarray, vectors: np.ndarray, weight: np.ndarray, side:
 
     Gives the number of linked vectors by row, and links (ids) that connect them.
     """
+    vectors = at_scale(vectors)
     norm = np.sqrt((vectors * vectors).sum(1))
     unit = vectors / norm[:, None]
     linked = Linked(len(ids))
@@ -166,6 +184,12 @@ def _moved(node: Node, rows: np.ndarray) -> Node:
     return Node(int(rows[node.centre]), node.radius, rows[node.members], [_moved(c, rows) for c in node.children])
 
 
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(vectors), -1)
+
+
 def _tasks(least_cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows (task, side, id, vector, copies) sorted by task; a task waits for all its rows."""
@@ -174,7 +198,7 @@ def _tasks(least_cosine: float):
         def links():
             rows = pa.Table.from_batches(held)
             ids = rows["id"].to_numpy()
-            vectors = np.array(rows["vector"].to_pylist(), float)
+            vectors = matrix(rows["vector"].combine_chunks())
             count, a, b = block_links(ids, vectors, rows["copies"].to_numpy().astype(np.int64), rows["side"].to_numpy(), least_cosine)
             some = np.flatnonzero(count)
             zero = lambda n: np.zeros(n, np.int64)
@@ -215,7 +239,7 @@ def _cells(groups: DataFrame, least_cosine: float) -> DataFrame:
     centres: dict[str, list] = {}
     for r in drawn.select("part", "id", "vector").orderBy("part", "id").limit(2 * MOST_CELLS).collect():
         centres.setdefault(r.part, []).append(r.vector)
-    unit = {k: np.array(v) / np.sqrt((np.array(v) ** 2).sum(1))[:, None] for k, v in centres.items()}
+    unit = {k: unit_vectors(np.array(v, float)) for k, v in centres.items()}
     sent = spark.sparkContext.broadcast(unit)
     prepare(spark)
 
@@ -225,10 +249,9 @@ def _cells(groups: DataFrame, least_cosine: float) -> DataFrame:
         names = np.array(parts.to_pylist(), object)
         for name in set(names) & sent.value.keys():
             rows = np.flatnonzero(names == name)
-            x = np.array(vectors.take(pa.array(rows)).to_pylist(), float)
-            x /= np.sqrt((x * x).sum(1))[:, None]
+            x = unit_vectors(matrix(vectors.take(pa.array(rows))))
             cell[rows] = (x @ sent.value[name].T).argmax(1)
-            far[rows] = _distance(x, sent.value[name][cell[rows]])
+            far[rows] = np.sqrt(((x - sent.value[name][cell[rows]]) ** 2).sum(1))
         return pa.StructArray.from_arrays([pa.array(cell), pa.array(far)], names=["cell", "far"])
 
     rows = groups.select("part", "id", "vector", "copies", nearest("part", "vector").alias("at")).select("part", "id", "vector", "copies", "at.cell", "at.far")

@@ -143,3 +143,41 @@ def test_repeated_vectors_count_as_links(spark):
     got = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert sorted(r.n_links for r in got) == [0, 4, 4, 4, 4, 4]
     assert {r.component_id for r in got} == {3, None}
+
+
+def test_vectors_of_any_size(spark):
+    """Components whose squares vanish or overflow count as they are."""
+    rows = [(1, [1e-200, 1e-200, 0.0], 1), (2, [1.0, 1.0, 0.0], 1), (3, [1e200, 1e200, 1e180], 1), (4, [5e-324, 0.0, 0.0], 1), (5, [3.0, 0.0, 0.0], 1), (6, [-1e300, 0.0, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.1, 1.0])
+def test_traversal_is_all_pairs(spread):
+    r = np.random.default_rng(4)
+    x = np.repeat(r.normal(size=(20, 16)), 30, 0) + spread * r.normal(size=(600, 16))
+    x = x[r.permutation(600)]
+    x[7], x[8] = 3 * x[5], 0.5 * x[5]
+    side, weight = np.arange(600) % 2, r.integers(1, 4, 600)
+    cosine = x @ x.T / np.sqrt(np.outer((x * x).sum(1), (x * x).sum(1)))
+    for sides, across in ((np.zeros(600, int), False), (side, True)):
+        count, a, b = E.block_links(np.arange(600), x, weight, sides, 0.98)
+        links = (cosine >= 0.98) & ~np.eye(600, dtype=bool)
+        if across:
+            links &= side[:, None] != side
+        assert count.tolist() == (links @ weight).tolist()
+        assert all(links[i, j] or i == j or not across for i, j in zip(a, b, strict=True))
+        roots = np.arange(600)
+        for _ in range(600):
+            new = np.array([min(roots[i], *roots[links[i]]) if links[i].any() else roots[i] for i in range(600)])
+            if (new == roots).all():
+                break
+            roots = new
+        found = np.arange(600)
+        for _ in range(600):
+            before = found.copy()
+            np.minimum.at(found, a, before[b])
+            np.minimum.at(found, b, found[a])
+            if (found == before).all():
+                break
+        assert found.tolist() == roots.tolist()
