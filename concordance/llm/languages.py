@@ -20,8 +20,10 @@ from .common import kept, prepare, text_slices
 
 #: Stands for "no language".
 UNDETERMINED = "und"
-#: Letters with a symbol of their own; others share 32 symbols by blocks of 128 code points.
-OWN_SYMBOLS, BLOCK_SYMBOLS = 160, 32
+#: Letters with a symbol of their own, the most frequent of all samples together; the others
+#: share symbols by a hash of the letter, so that scripts of thousands of letters keep most
+#: of what tells their words apart.
+OWN_SYMBOLS, HASHED_SYMBOLS = 160, 64
 #: A text is parsed in stretches of so many letters and gaps, all of them at once.
 STRETCH = 1024
 
@@ -72,13 +74,13 @@ class CrossParser:
         self.languages = sorted(samples)
         seen = Counter(c for x in samples.values() for c in x.lower() if c.isalpha())
         own = {c: 1 + i for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:OWN_SYMBOLS])}
-        self.n_symbols = 1 + len(own) + BLOCK_SYMBOLS
+        self.n_symbols = 1 + len(own) + HASHED_SYMBOLS
         self.symbol = np.zeros(0x110000, np.uint8)  # 0: no letter
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
                 low = c.lower()
-                self.symbol[code] = own.get(low) or 1 + len(own) + (ord(low[0]) >> 7) % BLOCK_SYMBOLS
+                self.symbol[code] = own.get(low) or 1 + len(own) + (ord(low[0]) * 0x9E3779B1 >> 16) % HASHED_SYMBOLS
         tables, starts, n = [], [], 0
         for x in self.languages:
             table = automaton(self.symbols([samples[x]])[0].tolist(), self.n_symbols)
@@ -205,6 +207,10 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     language); ties go to the language first in alphabet.  ``rate`` is the winner's
     phrases per letter or gap, near 1 where the text is in none of the languages.
 
+    A long text is parsed in stretches of STRETCH letters and gaps, so a phrase also ends
+    at each of these.  Letters beyond the OWN_SYMBOLS most frequent ones of all samples share
+    HASHED_SYMBOLS symbols, which matters for scripts of thousands of letters.
+
     ``und`` with score 0 if the text is null or has no letter, or if nothing was
     learned.  Null ids and repeated rows are kept; an empty table gives none.
     """

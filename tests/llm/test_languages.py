@@ -75,3 +75,15 @@ def test_rejection(awkward, no_docs):
     other = awkward.filter("doc_id = 1").withColumn("text", F.lit("日本語の文章です"))
     assert L.in_a_language(other, awkward).count() == 0
     assert L.in_a_language(no_docs, awkward).count() == 0
+
+
+def test_scripts_of_thousands_of_letters():
+    """Three languages of words from one block of 6,000 letters, most of them in none of the symbols of their own."""
+    r = random.Random(5)
+    words = {x: ["".join(chr(0x4E00 + r.randrange(6000)) for _ in range(r.choice((1, 2, 2, 3)))) for _ in range(900)] for x in "abc"}
+    text = lambda x, n: "".join(r.choices(words[x], k=n))
+    parser = L.CrossParser({x: text(x, 8000) for x in words})
+    tested = [(x, text(x, 30)) for x in words for _ in range(100)]
+    total, size, _ = parser.phrases([t for _, t in tested])
+    best = [parser.languages[i] for i in (total * parser.bits).argmin(1)]
+    assert sum(a == b for a, (b, _) in zip(best, tested, strict=True)) >= 297
