@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, staged
 
-#: Segments of a template; deeper ones are one wildcard together.
-DEPTH = 4
+#: Levels of a tree.  The last one has what remains of a path, all its segments put together:
+#: a wildcard stands for it where it varies, as for any other.
+DEPTH = 5
 #: Children of a node that stay apart: beyond so many, those with less than that part go.
 MOST_CHILDREN = 16
 #: Blocked and labelled pages that are added to each template's own.
@@ -75,10 +76,10 @@ def form(segment: Column) -> Column:
 
 
 def templates(path: Column) -> Column:
-    """The forms of a path's first DEPTH segments, then ``**`` if there are more."""
-    parts = F.slice(F.split(path, "/"), 2, 1 << 30)
-    forms = F.transform(F.slice(parts, 1, DEPTH), form)
-    return F.when(path == "", F.array().cast("array<string>")).otherwise(F.when(F.size(parts) > DEPTH, F.concat(forms, F.array(F.lit("**")))).otherwise(forms))
+    """The forms of a path's segments, those from DEPTH on put together as one."""
+    forms = F.transform(F.slice(F.split(path, "/"), 2, 1 << 30), form)
+    rest = F.array(F.array_join(F.slice(forms, DEPTH, 1 << 30), "/"))
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(F.when(F.size(forms) > DEPTH, F.concat(F.slice(forms, 1, DEPTH - 1), rest)).otherwise(forms))
 
 
 def merged_siblings(siblings: list[dict]) -> list[int]:

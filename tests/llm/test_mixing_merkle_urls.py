@@ -80,9 +80,9 @@ def plain_likeness(a, b):
     return 2 * len(x & y) / (len(x) + len(y))
 
 
-@pytest.mark.parametrize("range_rows", [20_000, 3])
-def test_edits(awkward, no_docs, spark, monkeypatch, range_rows):
-    monkeypatch.setattr(M, "RANGE_ROWS", range_rows)
+@pytest.mark.parametrize("ranges", [1, 12])
+def test_edits(awkward, no_docs, spark, monkeypatch, ranges):
+    monkeypatch.setattr(M, "RANGES", ranges)
     for docs in (awkward, awkward.filter("doc_id = 1"), spark.createDataFrame([(i, f"a{i % 5}. b{i}é, c\n\nd 😀{i // 2}") for i in range(57)], "doc_id long, text string")):
         rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in docs.collect()))
         want = []
@@ -133,7 +133,7 @@ def test_rules(spark, url, host, path, rule, verdict):
 
 
 def test_forms(spark):
-    paths = {"/en/123.html": ["en", "{n}.html"], "/en/12/": ["en", "{n}", ""], "": [], "/": [""], "/a/deadbeef01/x": ["a", "{x}", "x"], "/1/2/3/4/5/6": ["{n}"] * 4 + ["**"]}
+    paths = {"/en/123.html": ["en", "{n}.html"], "/en/12/": ["en", "{n}", ""], "": [], "/": [""], "/a/deadbeef01/x": ["a", "{x}", "x"], "/1/2/3/4/5/6": ["{n}"] * 4 + ["{n}/{n}"], "/a/b/c/d/e": [*"abcde"]}
     rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", U.templates(F.col("p")).alias("t")).collect()
     assert {r.p: r.t for r in rows} == paths
 
@@ -223,3 +223,24 @@ def test_unlabelled_siblings_share_labels(spark):
     got = {urls[r.page_id]: (r.rule, r.verdict) for r in U.judge(df, RULES).collect()}
     assert {got[u] for u in urls if "a.net/en/" in u} == {(None, "block")}
     assert {got[u] for u in urls if "docs/" in u or "about" in u or "b.org" in u} == {(None, "allow")}
+
+
+def test_rows_without_ids_are_drawn_each_on_its_own(spark):
+    """As many copies as of rows with ids, give or take five standard deviations, each with a sort key of its own."""
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("t").alias("text"))
+    twice = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.concat(F.lit("x"), F.col("id")).alias("text"))
+    own = spark.range(100, 4100).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), F.lit("t").alias("text"))
+    got = X.mixed(same.unionByName(twice).unionByName(own), weights={"a": 2.0, "b": 1.0}, copy_col="copy", key_col="k")
+    counts = {r[0]: r[1] for r in got.groupBy("doc_id").count().filter("doc_id IS NULL OR doc_id = 7").collect()}
+    assert abs(counts[None] - 4000) < 320 and abs(counts[7] - 4000) < 320
+    assert got.filter("doc_id IS NULL").select("k").distinct().count() == counts[None]
+    assert got.columns == ["doc_id", "source", "text", "copy", "k"]
+
+
+def test_next_of_crowded_ids(spark):
+    """A third without id, a third with one id: every row has the next one, in order of ids and beginnings of texts."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"{i * 7919 % 1000:04d} text") for i in range(900)] + [(None, "0000 text")] * 40
+    got = M.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", {}).collect()
+    order = sorted(((r[0] is not None, r[0] or 0, r[1]) for r in rows))
+    want = sorted((a, b[2]) for a, b in zip(order, [*order[1:], order[0]], strict=True))
+    assert sorted(((r.id is not None, r.id or 0, r.text), r.next_text) for r in got) == want
