@@ -487,7 +487,7 @@ def type_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.suggested_types(texts, list(SUGGEST_COLUMNS)).select("column", "type")
 
 
-KEY_COLUMNS = ["l_returnflag", "l_linenumber", "l_orderkey"]
+KEY_COLUMNS = ["l_returnflag", "l_orderkey", "l_extendedprice"]
 KEY_SQL = f"""WITH one AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, {i} AS o, count(DISTINCT {c}) AS n FROM lineitem" for i, c in enumerate(KEY_COLUMNS))}),
   two AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, '{d}' AS d, {i} AS o, count(DISTINCT ({c}, {d})) AS n FROM lineitem" for c in KEY_COLUMNS for i, d in enumerate(KEY_COLUMNS) if c != d)}),
   first AS (SELECT c FROM one ORDER BY n DESC, o LIMIT 1), second AS (SELECT d, n FROM two WHERE c = (SELECT c FROM first) ORDER BY n DESC, o LIMIT 1)
@@ -496,7 +496,7 @@ KEY_SQL = f"""WITH one AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, {i} AS o, co
 
 @query(KEY_SQL)
 def key_suggestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key of two columns that lines have."""
+    """The two columns that tell lines apart, on both of two sides."""
     lines = read(spark, sf_dir, "lineitem")
     return spark.createDataFrame([*enumerate(profile.suggested_key(lines, KEY_COLUMNS, lines.filter("l_orderkey % 2 = 0")))], "position int, column string")
 
