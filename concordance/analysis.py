@@ -44,6 +44,16 @@ def group_frame(counters: DataFrame, fields: DataFrame | None = None, mode: str
     return out.filter("count > 0")
 
 
+def keyed_groups(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """The groups of classified rows of keyed parity, (kind, classification, name, count), from one aggregation."""
+    b, c = F.col("in_baseline"), F.col("in_candidate")
+    parts = {("key", "baseline_only", ""): b & ~c, ("key", "candidate_only", ""): c & ~b}
+    parts |= {("field", kind, f): F.col(f"c_{f}") == i for f in fields for i, kind in ((1, "within_tolerance"), (2, "different"))}
+    one = rows.agg(*(F.count_if(x).alias(f"n{i}") for i, x in enumerate(parts.values())))
+    shown = (F.struct(*(F.lit(v).alias(n) for n, v in zip(("kind", "classification", "name"), k, strict=True)), F.col(f"n{i}").alias("count")) for i, k in enumerate(parts))
+    return one.select(F.inline(F.array(*shown))).filter("count > 0")
+
+
 def transition(before: Column, now: Column) -> Column:
     return (
         F.when((before == 0) & (now > 0), "introduced").when((before > 0) & (now == 0), "resolved").when(now > before, "increased").when(now < before, "decreased").otherwise("unchanged")

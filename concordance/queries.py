@@ -448,8 +448,7 @@ SERIES_SQL = f"""WITH f AS ({" UNION ALL ".join(f"(SELECT * FROM ({groups_sql(i,
 def discrepancy_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = []
     for how in RUNS:
-        rows = orders_rows(spark, sf_dir, **how)
-        runs.append(analysis.group_frame(keyed.counters(rows), keyed.field_counts(rows, ORDERS)))
+        runs.append(analysis.keyed_groups(orders_rows(spark, sf_dir, **how), [f.name for f in ORDERS.values]))
     return analysis.series(runs)
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .parity.keyed import COUNTERS, field_evidence
+from .parity.keyed import COUNTERS
 from .policy import Recipe, canonical_json, digest, require
 
 
@@ -75,9 +75,10 @@ def investigate(rows: DataFrame, recipe: Recipe, plan: RangePlan, parts: list[in
     """
     key = recipe.keys[0]
     chosen = rows.withColumn("part", routed(F.col(key), plan)).filter(F.col("part").isin(parts))
-    sided = chosen.filter(F.col("class").isNull()).select("part", F.col(key).alias("key"), F.when(F.col("in_baseline"), 0).otherwise(1).alias("section"), F.lit("").alias("field"))
-    fields = field_evidence(chosen, recipe).select(plan.route(F.col(key)).alias("part"), F.col(key).alias("key"), F.lit(2).alias("section"), "field")
-    cases = sided.unionByName(fields)
+    case = lambda section, field: F.struct(F.lit(section).alias("section"), F.lit(field).alias("field"))
+    one_sided = F.when(F.col("class").isNull(), F.when(F.col("in_baseline"), case(0, "")).otherwise(case(1, "")))
+    fields = [F.when(F.col(f"c_{f.name}") > 0, case(2, f.name)) for f in recipe.values]
+    cases = chosen.filter("class IS NULL OR class > 0").select("part", F.col(key).alias("key"), F.inline(F.filter(F.array(one_sided, *fields), lambda x: x.isNotNull())))
     counts = _case_counts(chosen, recipe)
     order = Window.partitionBy("part").orderBy("section", "key", "field")
     ranked = cases.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_part)

@@ -75,12 +75,14 @@ def conservation_groups(parent: DataFrame, parent_group: list[str], parent_measu
     value = lambda c: F.coalesce(F.col(c).cast(number), F.lit(0).cast(number))
     sides = []
     for df, group, measure, mark in ((parent, parent_group, parent_measure, "p"), (child, child_group, child_measure, "c")):
-        rows = df.select(*(F.col(g).alias(f"{mark}{n}") for g, n in zip(group, names, strict=True)), value(measure).alias("m"), F.col(measure).isNull().alias("null"))
-        sides.append(rows.groupBy(*(f"{mark}{n}" for n in names)).agg(F.count(F.lit(1)).alias(f"{mark}_rows"), F.sum("m").alias(f"{mark}_value"), F.count_if("null").alias(f"{mark}_null")))
-    on = reduce(Column.__and__, (F.col(f"p{n}").eqNullSafe(F.col(f"c{n}")) for n in names))
-    both = sides[0].join(sides[1], on, "full_outer")
-    counts = {x: zero(F.col(x)) for x in ("p_rows", "c_rows", "p_null", "c_null")}
-    both = both.select(*(F.coalesce(f"p{n}", f"c{n}").alias(n) for n in names), *(c.alias(x) for x, c in counts.items()), F.col("p_value"), F.coalesce("c_value", F.lit(0).cast(number)).alias("c_value"))
+        own = {"p": F.lit(0), "c": F.lit(0)} | {mark: F.lit(1)}
+        rows = df.select(*(F.col(g).alias(n) for g, n in zip(group, names, strict=True)), value(measure).alias("m"), F.col(measure).isNull().alias("null"), *(c.alias(x) for x, c in own.items()))
+        sides.append(rows)
+    here = lambda x, c: F.when(F.col(x) == 1, c)
+    sums = [F.sum(x).alias(f"{x}_rows") for x in "pc"] + [F.sum(here(x, F.col("m"))).alias(f"{x}_value") for x in "pc"] + [F.count_if((F.col(x) == 1) & F.col("null")).alias(f"{x}_null") for x in "pc"]
+    # One exchange: both sides meet in one aggregation, partial sums before it.
+    both = sides[0].unionByName(sides[1]).groupBy(*names).agg(*sums)
+    both = both.withColumn("c_value", F.coalesce("c_value", F.lit(0).cast(number)))
     compared = code(F.col("p_value"), F.col("c_value"), kind, tolerance, True)
     return both.withColumn("class", F.when(F.col("p_rows") == 1, compared))
 
