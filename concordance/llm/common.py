@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 
 #: Bytes of an Arrow batch between the JVM and a Python worker, about.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 _written: dict[str, SparkSession] = {}
 

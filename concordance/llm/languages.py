@@ -23,7 +23,7 @@ UNDETERMINED = "und"
 #: Letters with a symbol of their own, the most frequent of all samples together; the others
 #: share symbols by a hash of the letter, so that scripts of thousands of letters keep most
 #: of what tells their words apart.
-OWN_SYMBOLS, HASHED_SYMBOLS = 160, 64
+OWN_SYMBOLS, HASHED_SYMBOLS = 160, 32
 #: A text is parsed in stretches of so many letters and gaps, all of them at once.
 STRETCH = 1024
 

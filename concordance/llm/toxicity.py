@@ -44,9 +44,9 @@ CONTEXT_PARTS = 8
 #: Labelled rows that the logistic function is fitted on, about, half of them of each class.
 FIT_ROWS = 8192
 #: Words that a worker remembers; beyond it, it forgets and starts anew.
-REMEMBERED = 400_000
-#: Bytes of text that are counted or scored at once.
-SLICE = 1 << 22
+REMEMBERED = 150_000
+#: Bytes of text that are counted, and that are scored, at once.
+SLICE, SCORED = 1 << 21, 1 << 20
 #: Of a word: its id, its probability by class, and as a context what its bigrams need.
 WORD_VALUES = ("id", "p0", "p1", "per0", "per1", "left0", "left1", "per", "left")
 
@@ -360,7 +360,7 @@ def scorer(docs: DataFrame, model: Model, what: str = "score") -> Callable[[Colu
     def run(texts: pa.Array) -> pa.Array:
         own = kept(("toxicity", model))
         it = own.setdefault("it", Scorer(model)) if not own else own["it"]
-        parts = [getattr(it, what)(some) for some in text_slices(texts, SLICE)]
+        parts = [getattr(it, what)(some) for some in text_slices(texts, SCORED)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0))
 
     return run
