@@ -9,7 +9,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from concordance import analysis, cli, evidence, evolution, manifests, profile, ranges, reconcile, relations, suites
+from concordance import analysis, cli, evidence, evolution, manifests, profile, ranges, reconcile, rehearsal, relations, suites
 from concordance.catalog import Catalog
 from concordance.compare import Limits, compare, compare_frames
 from concordance.parity import aggregate, keyed, multiset
@@ -641,3 +641,47 @@ def test_reconciliation(spark):
     for bad in ([checks[1]], [checks[0], checks[0]], [checks[0], checks[1] | {"child_columns": ["amount"]}], [checks[0] | {"nulls": "zero"}]):
         with pytest.raises(PolicyError):
             reconcile.read_reconciliation(declared(checks=bad), {k: v[0] for k, v in inputs.items()})
+
+
+def test_rehearsal_and_dossier(spark):
+    def own(key, **columns):
+        return parse_recipe(copy.deepcopy(KEYED | {"keys": [key], "columns": {key: {"type": "integer"}, **columns, "amount": {"type": "decimal", "scale": 2}}}))
+
+    recipes = {"orders": own("oid"), "lines": own("lid", oid={"type": "integer"})}
+    orders = texts(spark, [("1", "3.00"), ("12", "1.00")], ("oid", "amount"))
+    lines = texts(spark, [("1", "1", "1.00"), ("2", "1", "2.00"), ("3", "12", "1.00")], ("lid", "oid", "amount"))
+    moved = lines.withColumn("oid", F.when(F.col("lid") == "3", "9").otherwise(F.col("oid")))
+    plans = dict.fromkeys(recipes, ranges.RangePlan((10,)))
+    checks = [
+        {"id": "order", "kind": "identity", "dataset": "orders", "columns": ["oid"], "nulls": "forbid"},
+        {"id": "link", "kind": "reference", "child_dataset": "lines", "child_columns": ["oid"], "parent_identity": "order", "nulls": "forbid"},
+    ]
+    good = rehearsal.rehearse({"orders": (recipes["orders"], orders, orders), "lines": (recipes["lines"], lines, lines)}, plans, checks)
+    bad = rehearsal.rehearse({"orders": (recipes["orders"], orders, orders), "lines": (recipes["lines"], lines, moved)}, plans, checks)
+    assert good["outcome"] == "PASS" and bad["outcome"] == "FAIL" and bad["relations"]["candidate"][1]["counts"]["orphan"] == 1
+    assert rehearsal.verify_rehearsal(good, plans) == good
+    found = rehearsal.dossier(bad, [{"id": "e1", "reason": "late order", "disposition": "open"}], [{"by": "A. Reviewer", "role": "owner"}])
+    assert found["open"] == 1 and rehearsal.verify_dossier(found, bad, plans) == found
+    for wrong in (lambda: rehearsal.verify_rehearsal(good | {"outcome": "FAIL"}, plans), lambda: rehearsal.verify_dossier(found, good, plans), lambda: rehearsal.dossier(bad, [{"id": "e", "reason": "r", "disposition": "ignored"}])):
+        with pytest.raises(PolicyError):
+            wrong()
+
+
+def test_dataset_evidence(spark, tmp_path):
+    root = tmp_path / "data"
+    root.mkdir()
+    (root / "a.csv").write_text("id,v\na,1\n")
+    r, at = recipe(), str(root / "a.csv")
+    bound = rehearsal.bindings("suite", "0" * 64, {"case": (r, at, at)})
+    assert [(b["role"], b["source_sha256"]) for b in bound["bindings"]] == [(s, digest(at)) for s in ("baseline", "candidate")]
+    manifest = rehearsal.bound_manifest(spark, root, bound, r)
+    assert manifest["manifest_version"] == 2 and manifests.verify(spark, manifest, root)["outcome"] == "PASS"
+    bundle = evidence.publish(tmp_path / "run", compare(spark, r, at, at), r)
+    assert rehearsal.publish_dataset_evidence(spark, tmp_path / "evidence", manifest, root, r, bundle)["outcome"] == "PASS"
+    assert rehearsal.verify_dataset_evidence(tmp_path / "evidence")["diagnostic"] == manifests.reproducibility()
+    assert "PASS" in rehearsal.cover_sheet("cutover <1>", {"run": evidence.verify(bundle)}) and "<1>" not in rehearsal.cover_sheet("cutover <1>", {})
+    with pytest.raises(PolicyError):
+        rehearsal.read_bindings(bound | {"bindings": bound["bindings"] * 2})
+    (tmp_path / "evidence.result" / "report.html").write_text("changed")
+    with pytest.raises(PolicyError):
+        rehearsal.verify_dataset_evidence(tmp_path / "evidence")
