@@ -18,14 +18,15 @@ from xml.sax.saxutils import escape
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import analysis, catalog, profile, ranges, relations
-from .evolution import inventory_diff, policy_diff
+from . import analysis, catalog, profile, ranges, reconcile, relations
+from .evolution import compile_mappings, inventory_diff, policy_diff, read_evolution
 from .manifests import read_files
 from .parity import aggregate, keyed, multiset
 from .policy import Recipe, Tolerance, parse_recipe, require
 from .scalars import parsed
 from .session import configure
 from .sources import read_source
+from .suites import compare as compare_suites
 from .suites import rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -710,3 +711,64 @@ def source_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = "".join("<row>" + "".join(f"<{k}>{escape(v)}</{k}>" for k, v in r.items()) + "</row>" for r in nations(spark, sf_dir))
     path.write_text(f"<nations><all>{rows}</all></nations>", encoding="utf-8")
     return read_source(spark, f"xml:{path}#nations/all/row")
+
+
+# Compositions: receipts with their arithmetic checked, suites over runs, mapped columns.
+
+
+@query(joined_sql() + f", q AS (SELECT *, {PART_SQL} AS part FROM j), t AS ({COUNTERS_SQL}) SELECT t.*, (SELECT count(DISTINCT part) FROM q WHERE cs IS NULL OR cs > 0 OR ct > 0) AS suspects, CASE WHEN baseline_only + candidate_only + matched_with_required_difference > 0 THEN 'FAIL' ELSE 'PASS' END AS outcome FROM t")
+def discovery_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, suspects and outcome of a discovery's receipt, which has been verified."""
+    found = [r.asDict() for r in ranges.discover(orders_rows(spark, sf_dir), ORDERS, PLAN).orderBy("part").collect()]
+    receipt = ranges.verify_receipt(ranges.receipt(found, PLAN, ORDERS), PLAN)
+    suspects = sum(any(r[n] for n in (*ranges.FAILING, "matched_within_tolerance")) for r in found)
+    row = (*receipt["totals"].values(), suspects, receipt["outcome"])
+    return spark.createDataFrame([row], ", ".join(f"{n} long" for n in (*receipt["totals"], "suspects")) + ", outcome string")
+
+
+CHECKS = (
+    {"id": "order", "kind": "identity", "dataset": "orders", "columns": ["k"], "nulls": "forbid"},
+    {"id": "line", "kind": "reference", "child_dataset": "lines", "child_columns": ["k"], "parent_identity": "order", "nulls": "forbid"},
+)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 100 <> 7), l AS (SELECT l_orderkey AS k FROM lineitem), c AS (SELECT (SELECT count(*) FROM o) AS orders, (SELECT count(DISTINCT k) FROM o) AS keys, (SELECT count(*) FROM l) AS lines, (SELECT count(*) FROM l WHERE k NOT IN (SELECT k FROM o)) AS orphans)
+  SELECT 'order' AS id, CASE WHEN orders = keys THEN 'PASS' ELSE 'FAIL' END AS outcome, orders AS rows, orders - keys AS failures FROM c UNION ALL SELECT 'line', CASE WHEN orphans = 0 THEN 'PASS' ELSE 'FAIL' END, lines, orphans FROM c""")
+def verified_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An identity and a reference check as a reconciliation runs them, their counts verified against the rows."""
+    recipes = {k: recipe(1, {"k": {"type": "integer"}}, keys=["k"]) for k in ("orders", "lines")}
+    frames = {"orders": read(spark, sf_dir, "orders").filter("o_orderkey % 100 <> 7").select(F.col("o_orderkey").alias("k")), "lines": read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))}
+    rows, out = {k: df.count() for k, df in frames.items()}, []
+    for c in CHECKS:
+        found = reconcile.checked(c, frames, recipes, {"order": CHECKS[0]})
+        reconcile.verify_counts(c, found, rows)
+        n = found["counts"]
+        out.append((c["id"], found["outcome"], n.get("rows", n.get("child_rows")), n.get("failures", n.get("orphan"))))
+    return spark.createDataFrame(out, "id string, outcome string, rows long, failures long")
+
+
+@query("""WITH c AS (SELECT event_type AS id, count(*) FILTER (WHERE value > 150) AS a, count(*) FILTER (WHERE value > 150 AND event_id % 3 = 1) AS b, count(*) AS n FROM events GROUP BY event_type),
+  o AS (SELECT id, CASE WHEN a > 0 THEN 'FAIL' ELSE 'PASS' END AS before, CASE WHEN n % 2 = 0 AND b > 0 THEN 'FAIL' WHEN n % 2 = 0 THEN 'PASS' ELSE 'INCONCLUSIVE' END AS after FROM c)
+  SELECT id, before, after, CASE WHEN before = after THEN 'unchanged' WHEN after = 'PASS' THEN 'improved' WHEN before = 'PASS' OR after = 'INCONCLUSIVE' THEN 'regressed' ELSE 'improved' END AS transition FROM o""")
+def suite_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a suite with a case for each event type."""
+    high = F.col("value") > 150
+    counts = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count_if(high).alias("a"), F.count_if(high & (F.col("event_id") % 3 == 1)).alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    before = {"cases": [{"id": r.event_type, "outcome": "FAIL" if r.a else "PASS"} for r in counts]}
+    after = {"cases": [{"id": r.event_type, "outcome": "INCONCLUSIVE" if r.n % 2 else "FAIL" if r.b else "PASS"} for r in counts]}
+    rows = [(r["id"], r["before"], r["after"], r["transition"]) for r in compare_suites(before, after)["cases"]]
+    return spark.createDataFrame(rows, "id string, before string, after string, transition string")
+
+
+MAPPED = recipe(1, ORDERS.source["columns"], keys=["k"], column_mappings={"status": {"baseline": "status", "candidate": "state"}}, excluded_columns={"note": "not compared"}, null_tokens={"baseline": [], "candidate": ["F"]})
+
+
+@query(joined_sql().replace("c AS (", "c0 AS (", 1).replace("j AS (", "c AS (SELECT k, CASE WHEN status = 'F' THEN NULL ELSE status END AS status, total FROM c0), j AS (", 1) + COUNTERS_SQL)
+def keyed_mapped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A renamed column found by its declared change, an excluded one, and a null token on one side."""
+    field = lambda name: {"id": "s", "name": name, "presence": "required", "nullability": "non-null"}
+    changes = read_evolution({"evolution_version": 1, "direction": "baseline-to-candidate", "changes": [{"change": "renamed", "baseline": [field("status")], "candidate": [field("state")]}]})
+    require(compile_mappings(changes) == MAPPED.source["column_mappings"], "the mapping is the compiled change")
+    base = orders_base(spark, sf_dir)
+    candidate = derived(base).withColumnRenamed("status", "state").withColumn("note", F.lit("x"))
+    return keyed.counters(keyed.classified(parsed(base, MAPPED, 0), parsed(candidate, MAPPED, 1), MAPPED))
