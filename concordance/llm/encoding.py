@@ -4,8 +4,9 @@ A text is cut at *safe boundaries*: places where no token of the whole text can
 lie on both sides, so that the tokens of the text are the tokens of its pieces
 put together.  A batch of texts is cut into words and its distinct words are found by
 Arrow; each worker keeps the tokens of the words that it has met and asks the
-library only for new ones; numpy puts the words' tokens together.  Where a text holds
-anything that makes the boundaries doubtful, it goes to the library in longer parts.
+library only for new ones, many in one text; numpy puts the words' tokens together.
+Where a text holds anything that makes the boundaries doubtful, it goes to the library
+in longer parts.
 """
 
 from __future__ import annotations
@@ -23,22 +24,26 @@ import pyarrow.compute as pc
 
 from .common import kept
 
-#: White space other than blank and line feed: there, pieces of a word may
-#: depend on their neighbours.
-ODD_SPACE = re.compile(r"[^\S \n]")
 #: For Arrow: a blank between white space (or what may pass for it) and white space or the
 #: end; tokenizers that keep runs of white space together don't cut before it.
 DOUBTFUL_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\x{200b}\p{Z}] (?:[\s\x0b\x1c-\x1f\x{85}\x{180e}\x{200b}\p{Z}]|$)"
 #: Characters that all versions of Unicode have as letters or digits; not the capital I with
 #: a dot, which in lower case ends with a mark.
 PLAIN = r"0-9A-Za-zÀ-ÖØ-öø-įı-ɏЀ-ҁҊ-ӿ"
-#: Blanks with the word after them; the punctuation after a word on its own.
-WORDS_AND_STOPS = re.compile(rf"[ \n]*[^ \n.,|]++(?<=[{PLAIN}])(?=[.,|])|[ \n]*[^ \n]+|[ \n]+")
 WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: A blank between two characters that are no white space and not sentencepiece's mark.
 BLANK = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 #: That, or a stop after a letter or digit, where pre-tokenizers cut as well.
 BLANK_OR_STOP = re.compile(rf"(?<=[^\s▁]) (?=[^\s▁])|(?<=[{PLAIN}])(?=[.,;:!?+/=])")
+#: By byte, what it is where a word of a text may begin (1 a stop, 2 a line feed, 4 a blank),
+#: and which of these may begin one after it: a stop after ASCII letters and digits, a line
+#: feed after what is no white space, a blank after anything.
+BEGINS, AFTER = np.zeros(256, np.uint8), np.full(256, 4, np.uint8)
+BEGINS[[*b".,;:!?+/="]], BEGINS[[*b"\n"]], BEGINS[[*b" "]] = 1, 2, 4
+AFTER[0x21:0x7F] = 2 | 4
+AFTER[[x for x in range(128) if chr(x).isalnum()]] = 1 | 2 | 4
+#: Characters of words that the library gets as one text, about.
+JOINED = 1 << 14
 #: Characters that the library gets at once, about, where a text has safe boundaries.
 SEGMENT = 1 << 18
 #: Bytes of text that are cut into words at once.
@@ -105,6 +110,25 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     return coded.indices.to_numpy(), coded.dictionary.to_pylist(), begins
 
 
+def cut_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The words that BEGINS and AFTER cut a string array into, with the blanks and stops that they
+    begin with: the distinct one of each, the distinct ones, and where each text begins."""
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    first, last = int(edges[0]), int(edges[-1])
+    if first == last:
+        return np.empty(0, np.int32), [], np.zeros(len(texts) + 1, np.int64)
+    held = np.frombuffer(data, np.uint8)[first:last]
+    begins = np.empty(len(held), bool)
+    np.not_equal(BEGINS[held[1:]] & AFTER[held[:-1]], 0, out=begins[1:])
+    edges = edges - first
+    begins[edges[:-1][np.diff(edges) > 0]] = True
+    at = np.append(np.flatnonzero(begins), len(held)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), data.slice(first, last - first))
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.searchsorted(at, edges)
+
+
 def gathered(source: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``source`` that begin there and are so long, one after another."""
     ends = np.cumsum(sizes)
@@ -175,30 +199,57 @@ class IdEncoder:
         if self.library.get_vocab_size() > 1 << 8 * np.dtype(dtype).itemsize:
             raise ValueError(f"{dtype} can't hold the ids of this vocabulary")
         # Special strings that take the blanks around them, or would be cut themselves, cross boundaries.
-        special = self.library.get_added_tokens_decoder().values()
-        self.whole = any(x.lstrip or x.rstrip or x.single_word or WORDS_AND_STOPS.findall(x.content) != [x.content] or BLANK_OR_STOP.search(x.content) for x in special)
-        self.pieces = PieceEncoder(WORDS_AND_STOPS, self._by_library, b"".join, cuts="\n.,|")
+        special = self.library.get_added_tokens_decoder()
+        self.whole = any(x.lstrip or x.rstrip or x.single_word or len(cut_words(pa.array([x.content]))[0]) != 1 or BLANK_OR_STOP.search(x.content) for x in special.values())
+        self.mark = None if self.whole else self._mark(special)
         self.ids, self.begins, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.words = WordTable(self._add, self._keep)
 
+    def _mark(self, special: dict) -> tuple[str, int] | None:
+        """A special string, and its id, that the library takes out of a text wherever it stands, so that
+        what lies between two of them is encoded like a text; None if there is none."""
+        for at, x in special.items():
+            mark, others = x.content, [y.content for y in special.values() if y.content != x.content]
+            begins = [mark[:n] for n in range(1, len(mark))]
+            if x.normalized or any(mark in y for y in others) or any(y.endswith(z) for y in (mark, *others) for z in begins):
+                continue  # another string, or the mark itself, may hold a part of a mark
+            words = ["a", " b", "c", ".", " ", "\n", " é", "'s", "A", "", "  z"]
+            if self._split(words, mark, at) == self._by_library(words):
+                return mark, at
+        return None
+
     def _by_library(self, texts: list[str]) -> list[bytes]:
         encode = self.library.encode_batch_fast
         return [array("I", x.ids).tobytes() for i in range(0, len(texts), 4096) for x in encode(texts[i : i + 4096], add_special_tokens=False)]
 
+    def _split(self, words: list[str], mark: str, mark_id: int) -> list[bytes]:
+        ids, sizes = self._joined(words, mark, mark_id)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+    def _joined(self, words: list[str], mark: str, mark_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after another, and how many each has; the library gets them as one text."""
+        ids = np.array(array("I", self.library.encode_batch_fast([mark.join(words)], add_special_tokens=False)[0].ids), np.uint32)
+        marks = ids == mark_id
+        at = np.flatnonzero(marks)
+        if len(at) != len(words) - 1:  # some word has the mark itself
+            return self._one_by_one(words)
+        return ids[~marks], np.diff(at, prepend=-1, append=len(ids)) - 1
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        encoded = self._by_library(words)
+        return np.frombuffer(b"".join(encoded), np.uint32), np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+
     def _add(self, words: list[str]) -> None:
-        """A word stands with the blank before it; one that begins with a blank is a text's first, without it."""
-        spelled = [w[1:] if w[:1] == " " else " " + w for w in words]
-        odd = [i for i, w in enumerate(spelled) if ODD_SPACE.search(w)] if ODD_SPACE.search("".join(spelled)) else []
-        clean = spelled if not odd else spelled.copy()
-        for i in odd:
-            clean[i] = ""
-        encoded = self.pieces(clean)
-        for i in odd:
-            encoded[i] = b"".join(self._by_library([*segments(spelled[i], boundary=BLANK_OR_STOP)]))
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        if self.mark is None:
+            found = [self._one_by_one(words)]
+        else:
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // JOINED)) + 1).tolist(), len(words)]
+            found = [self._joined(words[a:b], *self.mark) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        sizes = np.concatenate([x[1] for x in found])
         self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(encoded), np.uint32)])
+        self.ids = np.concatenate([self.ids, *(x[0] for x in found)])
 
     def _keep(self, slots: np.ndarray) -> None:
         sizes = self.sizes[slots]
@@ -212,11 +263,9 @@ class IdEncoder:
         odd |= pc.greater(pc.binary_length(texts), SEGMENT).to_numpy(zero_copy_only=False)
         apart = np.flatnonzero(odd)
         plain = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts) if len(apart) else texts
-        index, distinct, begins = words_of(plain)
+        index, distinct, begins = cut_words(plain)
         self.words.start()
-        firsts, first = np.unique(index[begins[:-1]], return_inverse=True)
         at = self.words(distinct)[index]
-        at[begins[:-1]] = self.words([" " + distinct[i] for i in firsts.tolist()])[first]
         sizes, own = self.sizes[at], self.begins[at]
         source = self.ids
         if end_id is not None:

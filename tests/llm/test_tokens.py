@@ -43,6 +43,39 @@ def test_flat_ids(path, random_texts):
             assert sliced.tolist() == got.tolist() and cuts.tolist() == offsets.tolist()
 
 
+class Counting:
+    """The library, counting the texts that it gets."""
+
+    def __init__(self, library):
+        self.library, self.n = library, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.n += len(texts)
+        return self.library.encode_batch_fast(texts, **more)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_new_words_are_one_text(path):
+    encoder = encoding.IdEncoder(path)
+    texts = [f"ab{i}cd, ab{i}cd. x ab{i}cd" for i in range(500)]
+    want = [x.ids for x in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    encoder.library = counting = Counting(encoder.library)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == want
+    assert counting.n < 5 and len(encoder.words.slots) == 1003  # a word is the same with a stop or without
+    assert encoder(texts) and counting.n < 5
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_with_special_strings(path):
+    encoder = encoding.IdEncoder(path)
+    texts = ["a<|endoftext|>b c", "<|endoftext|>", "<|endoftext|", "|>d <|endoftext|><|endoftext|>", "<|endof text|> e", "<|startoftext|>f.<|endoftext|>"]
+    want = [x.ids for x in encoder.library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.mark and [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == want
+    encoder = encoding.IdEncoder(path)
+    encoder.mark = None
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == want
+
+
 def test_lengths_are_the_librarys(random_texts, monkeypatch):
     want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=PIECE).encode(random_texts)]
     counter = encoding.LengthCounter(PIECE)
