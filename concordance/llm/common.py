@@ -105,12 +105,31 @@ def kept(owner: object) -> dict:
         del _kept[other]
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
     return _kept.setdefault(owner, {})
 
 
+def give_back() -> None:
+    """Return memory that a worker has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """``run``, after whose last batch the worker gives freed memory back.
+
+    An executor may have more workers than cores, which take turns; one that waits for its
+    next task then holds its tables only.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def prepare(spark: SparkSession) -> None:
     """Give the workers this package, and batches of bounded bytes."""
     ship(spark)
@@ -120,7 +139,7 @@ def prepare(spark: SparkSession) -> None:
 def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers have this package."""
     prepare(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

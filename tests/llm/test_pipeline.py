@@ -1,8 +1,12 @@
+import re
+from pathlib import Path
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from concordance.llm.common import staged
+from concordance.llm.common import in_arrow, staged
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -30,6 +34,24 @@ def test_run_is_the_stages(spark):
     assert out.count() > 100
 
 
+def test_workers_give_memory_back(spark):
+    held = []
+
+    def megabytes():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    def run(batches):
+        parts = [bytearray(4000) for _ in range(40_000)]
+        held.append(bytearray(4000))  # above the others, so that they don't go by themselves
+        yield from batches
+        held.append(megabytes())
+        del parts
+
+    frame = SimpleNamespace(sparkSession=spark, mapInArrow=lambda f, schema: f)
+    assert [*in_arrow(frame, run, "id long")(iter([1, 2]))] == [1, 2]
+    assert held[1] - megabytes() > 100
+
+
 def test_registry():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
