@@ -171,7 +171,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
         return pa.array(found[:, 0].astype(np.int32), mask=~here)
 
     some = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    some = some.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label(key(docs)).alias("toxic"))
+    # Spark would evaluate a deterministic function in the filter and again in what is written, each in a worker of its own.
+    some = some.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.asNondeterministic()(key(docs)).alias("toxic"))
     return staged(some.filter("toxic IS NOT NULL"), "labelled")
 
 
@@ -275,9 +276,10 @@ def train(labelled: DataFrame) -> Model | None:
     for table in (words, pairs):
         discard(table)
     drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit("fit")), step) == 0)
-    found = drawn.select("toxic", scorer(drawn, fitted, "statistic")(F.col("text")).alias("x")).filter(~F.isnan("x")).toArrow()
-    toxic = found["toxic"].to_numpy().astype(float)
-    fit = calibrated(found["x"].to_numpy(), toxic, np.where(toxic == 0, *steps))
+    found = drawn.select("toxic", scorer(drawn, fitted, "statistic")(F.col("text")).alias("x")).toArrow()
+    x, toxic = found["x"].to_numpy(), found["toxic"].to_numpy().astype(float)
+    x, toxic = x[~np.isnan(x)], toxic[~np.isnan(x)]
+    fit = calibrated(x, toxic, np.where(toxic == 0, *steps))
     return replace(final, fit=fit, prior=(sizes[1] + sizes[3] + 1) / (sum(sizes) + 2))
 
 
@@ -299,7 +301,8 @@ def _model(words: DataFrame, pairs: DataFrame, n: int, n_parts: int, counts: tup
     texts = of_class(words, "id", "hash")
     total = texts.agg(F.sum("n0"), F.sum("n1")).first()
     word_share = [(x or 0.0) / max(1.0, (total[0] or 0.0) + (total[1] or 0.0)) for x in total]
-    rows = texts.unionByName(texts.sparkSession.createDataFrame([(0, None, 0.0, 0.0)], "id long, hash long, n0 double, n1 double"))
+    # A table of local rows would start another daemon and its workers in the executors.
+    rows = texts.unionByName(texts.sparkSession.range(0, 1, 1, 1).selectExpr("id", "CAST(NULL AS LONG) AS hash", "0D AS n0", "0D AS n1"))
     rows = rows.select("id", "hash", *(excess(F.col(f"n{c}"), F.col("n0") + F.col("n1"), word_share[c]).alias(f"x{c}") for c in (0, 1)))
     rows = rows.join(contexts, "id", "left").join(after, "id", "left").fillna(0.0, [*(f"sum_{x}" for x in sums), "types"])
     rows = staged(rows, "rows")

@@ -52,6 +52,23 @@ def test_workers_give_memory_back(spark):
     assert held[1] - megabytes() > 100
 
 
+def test_a_task_needs_one_worker(spark, monkeypatch):
+    plans, frame, writer = [], type(spark.range(0)), type(spark.range(0).write)
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    to_arrow, parquet = frame.toArrow, writer.parquet
+    monkeypatch.setattr(frame, "toArrow", lambda self: (plan(self), to_arrow(self))[1])
+    monkeypatch.setattr(writer, "parquet", lambda self, *a, **b: (plan(self._df), parquet(self, *a, **b))[1])
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, FOLDER), name)
+    in_python = [len(re.findall(r"ArrowEvalPython|MapInArrow", part)) for x in plans for part in x.split("Exchange")]
+    assert max(in_python) == 1 and in_python.count(1) > 5
+    assert not any("ExistingRDD" in x for x in plans)  # rows that Python workers of their own unpickle
+
+
 def test_registry():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
